@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import split_overlap
+from ledgerloom.llm import addresses, split_overlap
 from ledgerloom.session import read_table, store
 
 
@@ -20,5 +20,13 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap.overlap_report(_same(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.group_pairs(addresses.address_groups(read_table(spark, sf_dir, "parties")))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.address_groups(read_table(spark, sf_dir, "parties"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_groups": p5_groups}
 SQL: dict[str, str] = {}
