@@ -271,7 +271,7 @@ def address_links(parsed: DataFrame, min_probability: float = MIN_PROBABILITY) -
     def keys(number: pd.Series, street: pd.Series, postcode: pd.Series) -> pd.Series:
         return pd.Series([[f"{n}/{k}" for k in [*street_sounds(s), *(["p" + p] if p else [])]] for n, s, p in zip(number, street, postcode, strict=True)])
 
-    pairs = block_pairs(classes.select(F.explode(keys("number", "street", "postcode")).alias("block"), "id"))
+    pairs = block_pairs(classes.select(F.explode(F.array_distinct(keys("number", "street", "postcode"))).alias("block"), "id"))
     side = lambda s: classes.select(F.col("id").alias(s), F.struct(*parts).alias(f"p{s}"))
 
     @F.pandas_udf("array<int>")
@@ -299,5 +299,5 @@ def address_groups(parties: DataFrame, min_probability: float = MIN_PROBABILITY)
 
 def group_pairs(groups: DataFrame) -> DataFrame:
     """Pairs of the records of each location, the smaller id first."""
-    pairs = block_pairs(groups.select(F.col("location").alias("block"), F.col("address_id").alias("id")))
+    pairs = block_pairs(groups.select(F.col("location").alias("block"), F.col("address_id").alias("id")), distinct=False)
     return pairs.select(F.col("a").alias("address_id_a"), F.col("b").alias("address_id_b"))

@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import salt_of
+from ledgerloom.session import lookup_join, store
 
 #: Members of one block that meet in one task. Larger blocks are cut into chunks of about this size.
 CHUNK = 256
 
 
-def block_pairs(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, b), a < b, once each, of all ids that share a block. `members` has the columns block and id.
+def block_pairs(members: DataFrame, chunk: int = CHUNK, distinct: bool = True) -> DataFrame:
+    """(a, b), a < b, of all ids that share a block. `members` has block and id, each pair of them once.
 
-    A block of n members is cut into c = ceil(n / chunk) chunks by a hash of the id; each pair of chunks is a join key
-    of its own, so every task joins at most about 2 * chunk members and no pair is dropped.
+    A block of n > chunk members is cut into c = ceil(n / chunk) chunks by a hash of the id; each pair of chunks is a
+    join key of its own, so every task joins at most about 2 * chunk members of a block and no pair is dropped. Without
+    `distinct`, a pair comes once for each block that it shares.
     """
-    members = members.select("block", "id").dropna().distinct()
-    sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = members.join(sizes, "block").withColumn("c", F.ceil(F.col("n") / chunk).cast("int"))
-    sized = sized.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
-    left = sized.select("block", F.col("id").alias("a"), F.col("mine").alias("i"), other.alias("j"))
-    right = sized.select("block", F.col("id").alias("b"), F.col("mine").alias("j"), other.alias("i"))
-    pairs = left.join(right, ["block", "i", "j"]).where("a < b")
-    return pairs.select("a", "b").distinct()
-
-
-__all__ = ["block_pairs", "salt_of"]
+    members = members.select("block", "id").dropna()
+    hot = store(members.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("block", F.ceil(F.col("n") / chunk).cast("int").alias("c")), "hot-blocks")
+    if hot.isEmpty():
+        left, right, keys = members.withColumnRenamed("id", "a"), members.withColumnRenamed("id", "b"), ["block"]
+    else:
+        sized = lookup_join(members, hot, ["block"], "id").withColumn("c", F.coalesce("c", F.lit(1)))
+        sized = sized.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
+        left = sized.select("block", F.col("id").alias("a"), F.col("mine").alias("i"), other.alias("j"))
+        right = sized.select("block", F.col("id").alias("b"), F.col("mine").alias("j"), other.alias("i"))
+        keys = ["block", "i", "j"]
+    pairs = left.join(right, keys).where("a < b").select("a", "b")
+    return pairs.distinct() if distinct else pairs

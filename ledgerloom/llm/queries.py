@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import addresses, split_overlap
+from ledgerloom.llm import addresses, names, split_overlap
 from ledgerloom.session import read_table, store
 
 
@@ -28,5 +28,18 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.address_groups(read_table(spark, sf_dir, "parties"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_groups": p5_groups}
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    invoices, parties = read_table(spark, sf_dir, "invoices"), read_table(spark, sf_dir, "parties")
+    return names.name_clusters([invoices.select("supplier_name"), invoices.select("buyer_name"), parties.select("legal_name"), parties.select("trading_name")])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_pairs(_names(spark, sf_dir))
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir)
+
+
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_clusters": p6_clusters}
 SQL: dict[str, str] = {}
