@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import addresses, names, split_overlap
+from ledgerloom.llm import addresses, leakage, names, packing, reading, split_overlap
 from ledgerloom.session import read_table, store
 
 
@@ -41,5 +42,31 @@ def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir)
 
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_clusters": p6_clusters}
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(store(p7_packed(spark, sf_dir), "packed"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_passages(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id", "n_words", F.round("matched", 4).alias("matched"))
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "reading_labels"))
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return reading.level_profile(store(p9_levels(spark, sf_dir), "levels"), documents)
+
+
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_clusters": p6_clusters, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_passages": p8_passages, "p9_levels": p9_levels, "p9_profile": p9_profile}
 SQL: dict[str, str] = {}
