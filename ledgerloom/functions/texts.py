@@ -54,7 +54,7 @@ def version_relation(version: Column, current: str) -> Column:
 
 def first_tag(xml: Column, tag: str) -> Column:
     """The text of the first element of that name, whatever its prefix; null if absent or empty."""
-    return F.nullif(F.trim(F.regexp_extract(xml, rf"(?is)<(?:[\w.-]+:)?{tag}\b(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?{tag}>", 1)), F.lit(""))
+    return F.nullif(F.regexp_replace(F.regexp_extract(xml, rf"(?is)<(?:[\w.-]+:)?{tag}\b(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?{tag}>", 1), r"^\s+|\s+$", ""), F.lit(""))
 
 
 def nested_tag(xml: Column, *path: str) -> Column:

@@ -58,7 +58,7 @@ def orphan_references(
     doubtful = used.join(parent.where(F.col("_first").isNotNull() | F.col("_gone").isNotNull()), keys)
     doubtful = doubtful.where((F.col("_from") < F.col("_first")) | (F.col("_to") >= F.col("_gone"))).select(*keys, "_first", "_gone", F.lit(False).alias("_missing"))
     failing = missing.unionByName(doubtful).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = child.withColumn("_salt", salt_of("_row", salts)).join(failing, [*keys, "_salt"])
+    joined = child.withColumn("_salt", salt_of("_row", salts)).join(failing.hint("merge"), [*keys, "_salt"])
     reason = F.when(F.col("_missing"), "missing").when(F.col("_at") < F.col("_first"), "late").when(F.col("_at") >= F.col("_gone"), "deleted")
     return joined.select(F.col("_row").alias("row_id"), reason.alias("reason"), F.col("_at").alias("received_at")).where(F.col("reason").isNotNull())
 

@@ -11,6 +11,7 @@ from ledgerloom.operators import coerce, evaluate, fingerprint, history, mapping
 from ledgerloom.operators.orphans import normal_key
 from ledgerloom.session import read_table
 from ledgerloom.sources import sniff
+from ledgerloom.streaming import events as stream
 
 TODAY = "2026-03-01"
 CUT = "2026-01-01 00:00:00"
@@ -129,13 +130,13 @@ def tax_breakdown_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.tax_conflicts(read_table(spark, sf_dir, "invoices"), read_table(spark, sf_dir, "tax_breakdowns"))
 
 
-@query(f"""select row_id, cast(({_dec('payable_amount')}) * case ({_UNITS}) when 0 then 1 when 2 then 100 when 3 then 1000 end as bigint) as minor_units, {_txt(_dec('payable_amount'))} as payable_text,
+@query(f"""select row_id, cast(({_dec('payable_amount')}) * case ({_UNITS}) when 0 then 1 when 2 then 100 when 3 then 1000 end as bigint)::varchar as minor_units, {_txt(_dec('payable_amount'))} as payable_text,
 cast({_scale('payable_amount')} as int) as payable_scale from invoices""")
 def minor_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = D.parse(F.col("payable_amount"))
     units = D.minor_units(F.col("currency"))
     factor = F.when(units == 0, 1).when(units == 2, 100).when(units == 3, 1000)
-    return read_table(spark, sf_dir, "invoices").select("row_id", (amount * factor).try_cast("bigint").alias("minor_units"), D.text(amount).alias("payable_text"), D.scale(F.col("payable_amount")).alias("payable_scale"))
+    return read_table(spark, sf_dir, "invoices").select("row_id", (amount * factor).try_cast("bigint").cast("string").alias("minor_units"), D.text(amount).alias("payable_text"), D.scale(F.col("payable_amount")).alias("payable_scale"))
 
 
 @query(f"""with f as (select row_id, {_key('supplier_name')} as a, {_key('buyer_name')} as b, {_key('invoice_number')} as c, cast({_DATE.format('issue_date')} as varchar) as d, upper(trim(currency)) as e,
@@ -280,14 +281,14 @@ def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_key").agg(F.max(F.struct("received_at", "row_id")).alias("m"), F.count(F.lit(1)).alias("n_deliveries")).select("doc_key", "m.row_id", "n_deliveries")
 
 
-@query(f"""select row_id, cast(row_number() over w as int) as revision, lead(row_id) over w as superseded_by from (select {_DKEY} as k, row_id, received_at from invoices where {_DKEY} is not null) window w as (partition by k order by received_at, row_id)""")
+@query(f"""select row_id, cast(row_number() over w as int) as revision, coalesce(lead(row_id) over w, 0) as superseded_by from (select {_DKEY} as k, row_id, received_at from invoices where {_DKEY} is not null) window w as (partition by k order by received_at, row_id)""")
 def revision_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     rows = read_table(spark, sf_dir, "invoices").select(normal_key("document_id").alias("k"), "received_at", "row_id").where("k is not null")
     order = [F.col("received_at"), F.col("row_id")]
     numbered = history.numbered(rows, ["k"], order)
-    return numbered.withColumn("superseded_by", F.lead("row_id").over(Window.partitionBy("k").orderBy(*order))).select("row_id", "revision", "superseded_by")
+    return numbered.withColumn("superseded_by", F.coalesce(F.lead("row_id").over(Window.partitionBy("k").orderBy(*order)), F.lit(0))).select("row_id", "revision", "superseded_by")
 
 
 @query("""select event_id, running, running <= 50000 as accepted from (select event_id, cast(sum(cast(round(value * 100) as bigint)) over (partition by user_id order by ts, event_id rows unbounded preceding) as bigint) as running from events)""")
@@ -494,3 +495,15 @@ def canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records equal up to JSON form: (digest, n, first) of digests that occur more than once."""
     digests = read_table(spark, sf_dir, "canonical_records").select("ground_truth", trees.sorted_digest("record_json").alias("digest"))
     return digests.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("ground_truth").alias("first")).where("n > 1")
+
+
+@query("""select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events group by 1, 2""")
+def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows of the event stream, run to its end."""
+    return stream.windowed(spark, f"{sf_dir}/events.parquet").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", "cents")
+
+
+@query("select user_id, event_type, count(distinct event_id) as n from events group by 1, 2")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events counted once by id, however often the stream delivers them."""
+    return stream.deduplicated(spark, f"{sf_dir}/events.parquet").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))

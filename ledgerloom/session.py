@@ -91,4 +91,5 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], row_id: str
     if is_small(lookup) if small is None else small:
         return rows.join(F.broadcast(lookup), keys, how)
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt_of(row_id, salts)).join(salted, [*keys, "_salt"], how).drop("_salt")
+    # the hint: the planner's estimate of a side does not know that explode makes it larger, and would broadcast it
+    return rows.withColumn("_salt", salt_of(row_id, salts)).join(salted.hint("merge"), [*keys, "_salt"], how).drop("_salt")
