@@ -153,21 +153,21 @@ def alias_dictionary(spellings: DataFrame, spelling: str = "spelling", max_cost:
     return written.join(best.join(F.broadcast(known), "unit"), "plain").select("spelling", "unit", "common_unit", "num", "den", "cost")
 
 
-#: What introduces the unit of the quantity in a description.
+#: What introduces the unit of the quantity in a description, and the unit itself.
+_CUE = r"(?i)(\[|\bUOM\b|unit of measure|\bbilled\b|\bquanti|\bqty\b|\bqté|\bmenge\b|\bcantidad\b)"
 _SAYS = (
-    r"(?i)(?:\[\s*([^\]\d][^\]]*?)\s*\]\s*$"
-    r"|\bUOM\s*:\s*(.+?)\s*$"
-    r"|\bunit of measure\s*:?\s*(.+?)\s*$"
-    r"|\bbilled (?:by|in|per)\s+(?:the\s+)?(.+?)\s*$"
-    r"|\b(?:quantity|qty|menge|quantité|qté|cantidad|cant\.)\s+(?:given\s+)?(?:in|en)\s+([^:()]+(?:\(US\))?)\s*(?:\)\s*$|:|$))"
+    r"(?i)(?:\[\s*(?=[^\]\d])([^\]]+?)\s*\]\s*$"
+    r"|(?:\bUOM\s*:|\bunit of measure\s*:?|\bbilled (?:by|in|per)(?:\s+the)?)\s+(.+?)\s*$"
+    r"|\b(?:quantity|qty|menge|quantité|qté|cantidad)\s+(?:given\s+)?(?:in|en)\s+([^:()]+(?:\(US\))?)\s*(?:\)\s*$|:|$))"
 )
 #: Amounts from here on count as unreadable; below it, thousandths of every common unit fit a bigint.
 MAX_AMOUNT = 10**12
 _NUMBER = r"^\s*([-+−]?\s*\d[\d.,'’\s]*)"
+_PLAIN = r"^-?\d+(\.\d+)?$"
 
 
-def quantity_parts(quantity: Column) -> tuple[Column, Column]:
-    """(number as decimal text or null, what follows it)."""
+def quantity_number(quantity: Column) -> Column:
+    """The number of a quantity as plain decimal text, or null. Most are plain already and cost one test."""
     raw = F.regexp_extract(quantity, _NUMBER, 1)
     digits = F.regexp_replace(F.regexp_replace(raw, r"[\s'’]", ""), "−", "-")
     digits = F.regexp_replace(digits, r"^(.*[^.,])[.,]$", "$1")
@@ -175,14 +175,18 @@ def quantity_parts(quantity: Column) -> tuple[Column, Column]:
     comma = digits.rlike(r",\d{1,2}$")
     number = F.when(comma, F.regexp_replace(F.regexp_replace(F.regexp_replace(digits, r",(\d{1,2})$", "#$1"), r"[.,]", ""), "#", "."))
     number = number.otherwise(F.regexp_replace(digits, ",", ""))
-    number = F.when(number.rlike(r"^[-+]?\d+(\.\d+)?$"), number)
-    return number, F.trim(F.substring(quantity, F.length(F.regexp_extract(quantity, _NUMBER, 0)) + 1, F.length(quantity)))
+    return F.when(quantity.rlike(_PLAIN), quantity).otherwise(F.when(number.rlike(r"^[-+]?\d+(\.\d+)?$"), number))
+
+
+def quantity_tail(quantity: Column) -> Column:
+    """What follows the number; null for plain numbers."""
+    return F.when(~quantity.rlike(_PLAIN), F.nullif(F.trim(F.substring(quantity, F.length(F.regexp_extract(quantity, _NUMBER, 0)) + 1, F.length(quantity))), F.lit("")))
 
 
 def description_unit(description: Column) -> Column:
     """The unit that a description states for the quantity, or null."""
-    parts = [F.nullif(F.regexp_extract(description, _SAYS, i), F.lit("")) for i in range(1, 6)]
-    return F.coalesce(*parts)
+    parts = [F.nullif(F.trim(F.regexp_extract(description, _SAYS, i)), F.lit("")) for i in range(1, 4)]
+    return F.when(description.rlike(_CUE), F.coalesce(*parts))
 
 
 def normalise_quantities(
@@ -193,31 +197,34 @@ def normalise_quantities(
     Columns: row_id, unit_source (unit, quantity, description), spelling, unit, common_unit, amount (as written),
     quantity_milli (thousandths of the common unit, rounded), common_quantity and price_per_common_unit (double).
     """
-    number, tail = quantity_parts(F.col(quantity))
     base = rows.select(
         F.col(row_id).alias("row_id"),
-        number.alias("_number"),
-        F.array(
-            F.struct(F.lit("unit").alias("source"), F.trim(F.col(unit)).alias("spelling")),
-            F.struct(F.lit("quantity").alias("source"), tail.alias("spelling")),
-            F.struct(F.lit("description").alias("source"), description_unit(F.col(description)).alias("spelling")),
-        ).alias("_said"),
+        F.col(quantity).alias("_quantity"),
+        F.col(description).alias("_description"),
+        F.nullif(F.trim(F.col(unit)), F.lit("")).alias("_s0"),
         F.expr(f"try_cast(`{price}` as double)").alias("_price"),
         F.expr(f"try_cast(`{price_base}` as double)").alias("_base"),
     )
-    base = base.withColumn("_said", F.filter("_said", lambda s: s.spelling.isNotNull() & ~normal_unit(s.spelling).isin(*_FILLER)))
-    base = base.withColumn("_amount", F.expr("try_cast(_number as decimal(24, 6))"))
-    base = base.withColumn("_amount", F.when(F.abs("_amount") < MAX_AMOUNT, F.col("_amount")))
-    spellings = base.select(F.explode("_said.spelling").alias("spelling")).distinct()
-    dictionary = store(alias_dictionary(spellings), "unit-aliases").withColumnRenamed("spelling", "_spelling")
-    small = is_small(dictionary)
-    # at most one spelling of a row is used: the first of its (at most three) that the dictionary knows
-    out = base
-    for i in range(3):
-        entry = dictionary.select("_spelling", F.struct("unit", "common_unit", "num", "den").alias(f"_e{i}"))
-        out = lookup_join(out.withColumn("_spelling", F.expr(f"try_element_at(_said, {i + 1}).spelling")), entry, ["_spelling"], "row_id", small=small).drop("_spelling")
-    first = F.coalesce(*[F.when(F.col(f"_e{i}").isNotNull(), F.struct(F.lit(i + 1).alias("at"), F.col(f"_e{i}").alias("e"))) for i in range(3)])
-    out = out.withColumn("_hit", first).withColumn("_by", F.expr("try_element_at(_said, _hit.at)"))
+
+    def dictionary(spellings: DataFrame, label: str) -> tuple[DataFrame, bool]:
+        out = store(alias_dictionary(store(spellings.where("spelling is not null").distinct(), f"{label}-spellings")), f"{label}-aliases")
+        return out, is_small(out)
+
+    def looked_up(df: DataFrame, aliases: tuple[DataFrame, bool], i: int) -> DataFrame:
+        entry = aliases[0].select(F.col("spelling").alias(f"_s{i}"), F.struct("unit", "common_unit", "num", "den").alias(f"_e{i}"))
+        return lookup_join(df, entry, [f"_s{i}"], "row_id", small=aliases[1])
+
+    # texts are searched for units only in rows whose unit field names none
+    out = looked_up(base, dictionary(base.select(F.col("_s0").alias("spelling")), "unit"), 0)
+    tail = F.when(F.col("_e0").isNull(), quantity_tail(F.col("_quantity")))
+    said = F.when(F.col("_e0").isNull(), description_unit(F.col("_description")))
+    texts = dictionary(out.where("_e0 is null").select(F.explode(F.array(tail, said)).alias("spelling")), "text")
+    out = looked_up(out.withColumn("_s1", tail), texts, 1)
+    out = looked_up(out.withColumn("_s2", F.when(F.col("_e1").isNull(), said)), texts, 2)
+    sources = ("unit", "quantity", "description")
+    first = F.coalesce(*[F.when(F.col(f"_e{i}").isNotNull(), F.struct(F.lit(s).alias("source"), F.col(f"_s{i}").alias("spelling"), F.col(f"_e{i}").alias("e"))) for i, s in enumerate(sources)])
+    out = out.withColumn("_hit", first).withColumn("_amount", quantity_number(F.col("_quantity")).try_cast("decimal(24,6)"))
+    out = out.withColumn("_amount", F.when(F.abs("_amount") < MAX_AMOUNT, F.col("_amount")))
     known = F.col("_hit").isNotNull() & F.col("_amount").isNotNull()
     # exact: |amount| in millionths * 1000 * num / (den * 10^6), half away from zero
     scaled = "cast(abs(_amount) * 1000000 as decimal(27, 0))"
@@ -225,8 +232,8 @@ def normalise_quantities(
     factor = F.col("_hit.e.num") / F.col("_hit.e.den")
     return out.select(
         "row_id",
-        F.col("_by.source").alias("unit_source"),
-        F.col("_by.spelling").alias("spelling"),
+        F.col("_hit.source").alias("unit_source"),
+        F.col("_hit.spelling").alias("spelling"),
         F.col("_hit.e.unit").alias("unit"),
         F.when(known, F.col("_hit.e.common_unit")).alias("common_unit"),
         F.col("_amount").alias("amount"),
