@@ -31,6 +31,8 @@ from ledgerloom.llm.graph import connected_components
 from ledgerloom.session import store
 
 MIN_PROBABILITY = 0.9
+#: Weight, in pairs, of the starting values during estimation.
+PRIOR = 20
 
 # Words for kinds of streets, as typed and abbreviated in six countries.
 STREET_KINDS = {
@@ -216,9 +218,9 @@ def fit_weights(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200)
         g = pm / (pm + pu)
         new = float((g * n).sum() / n.sum())
         for f, k in enumerate(levels):
-            # one pseudo-count keeps levels that do not occur possible
-            m[f] = (np.bincount(x[:, f], g * n, k) + 1 / k) / ((g * n).sum() + 1)
-            u[f] = (np.bincount(x[:, f], (1 - g) * n, k) + 1 / k) / (((1 - g) * n).sum() + 1)
+            # a prior of a few pairs at the start's values: rare levels and small tables do not run to extremes
+            m[f] = (np.bincount(x[:, f], g * n, k) + PRIOR * np.array(agree[k][0])) / ((g * n).sum() + PRIOR)
+            u[f] = (np.bincount(x[:, f], (1 - g) * n, k) + PRIOR * np.array(agree[k][1])) / (((1 - g) * n).sum() + PRIOR)
         if abs(new - share) < 1e-9:
             break
         share = min(max(new, 1e-6), 1 - 1e-6)
