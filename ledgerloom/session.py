@@ -37,7 +37,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, or a local one where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
