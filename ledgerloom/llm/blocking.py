@@ -29,5 +29,6 @@ def block_pairs(members: DataFrame, chunk: int = CHUNK, distinct: bool = True) -
         left = sized.select("block", F.col("id").alias("a"), F.col("mine").alias("i"), other.alias("j"))
         right = sized.select("block", F.col("id").alias("b"), F.col("mine").alias("j"), other.alias("i"))
         keys = ["block", "i", "j"]
-    pairs = left.join(right, keys).where("a < b").select("a", "b")
+    # the planner takes a side that explode or Python makes large for a small one; without the hint it broadcasts it
+    pairs = left.join(right.hint("merge"), keys).where("a < b").select("a", "b")
     return pairs.distinct() if distinct else pairs

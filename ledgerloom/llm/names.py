@@ -261,7 +261,8 @@ def name_links(classes: DataFrame) -> DataFrame:
     letters = F.regexp_replace("core", "[^a-z]", "")
     turned = F.regexp_replace(F.regexp_replace("core", r"^(\S+) (.*)$", "$2$1"), "[^a-z]", "")
     cores = store(classes.select("kind", "core").distinct().select(F.monotonically_increasing_id().alias("n"), "kind", "core", letters.alias("letters"), turned.alias("turned")), "name-cores")
-    met = block_pairs(cores.select(F.explode(keys("core")).alias("key"), "kind", F.col("n").alias("id")).select(F.xxhash64("key", "kind").alias("block"), "id"))
+    spread = cores.repartition(int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n")
+    met = block_pairs(spread.select(F.explode(keys("core")).alias("key"), "kind", F.col("n").alias("id")).select(F.xxhash64("key", "kind").alias("block"), "id"))
     core = lambda s: cores.select(*[F.col(c).alias(f"{c}_{s}") for c in cores.columns])
 
     @F.pandas_udf(T.BooleanType())
