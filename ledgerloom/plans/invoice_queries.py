@@ -10,7 +10,7 @@ from ledgerloom.functions import texts as X
 from ledgerloom.operators import coerce, evaluate, fingerprint, history, mapping, merge, trees, validate
 from ledgerloom.operators.orphans import normal_key
 from ledgerloom.session import read_table
-from ledgerloom.sources import sniff
+from ledgerloom.sources import sniff, structured
 from ledgerloom.streaming import events as stream
 
 TODAY = "2026-03-01"
@@ -507,3 +507,72 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events counted once by id, however often the stream delivers them."""
     return stream.deduplicated(spark, f"{sf_dir}/events.parquet").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CII = """'<rsm:CrossIndustryInvoice xmlns:rsm="u"><rsm:ExchangedDocument><ram:ID>' || invoice_number || '</ram:ID><ram:IssueDateTime><udt:DateTimeString format="102">' || replace(issue_date, '-', '') || '</udt:DateTimeString></ram:IssueDateTime></rsm:ExchangedDocument><ram:SellerTradeParty><ram:Name>' || supplier_name || '</ram:Name></ram:SellerTradeParty><ram:InvoiceCurrencyCode>' || currency || '</ram:InvoiceCurrencyCode><ram:GrandTotalAmount>' || payable_amount || '</ram:GrandTotalAmount></rsm:CrossIndustryInvoice>'"""
+_UBL = _XML.replace("</cbc:IssueDate>'", "</cbc:IssueDate><cbc:DocumentCurrencyCode>' || coalesce(currency, '') || '</cbc:DocumentCurrencyCode>'")
+
+
+@query(f"""with x as (select row_id, invoice_number, issue_date, supplier_name, currency, payable_amount, coalesce({_CII}, {_UBL}) as xml, ({_CII}) is not null as cii from invoices)
+select row_id, case when cii then 'cii' else 'ubl' end as vocabulary, 'structured_' || substr(sha256(xml), 1, 16) as document_id, nullif(trim(invoice_number), '') as number, nullif(trim(issue_date), '') as issue_date, nullif(trim(supplier_name), '') as supplier_name,
+nullif(trim(currency), '') as currency, nullif(trim(payable_amount), '') as payable_amount from x""")
+def structured_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two XML vocabularies mapped to one set of columns; rows that lack a part are written in the other vocabulary."""
+    xml = read_table(spark, sf_dir, "invoices").select("row_id", F.expr(f"coalesce({_CII}, {_UBL})").alias("xml"))
+    return structured.mapped(xml).select("row_id", "vocabulary", "document_id", "number", "issue_date", "supplier_name", "currency", "payable_amount")
+
+
+_CHANGES = ("supplier_name", "buyer_name", "invoice_number", "issue_date", "currency", "payable_amount", "review_status")
+
+
+@query(f"""with r as (select *, {_DKEY} as k from invoices), l as (select row_id, received_at, k, {", ".join(f"{c}, lag({c}) over w as p_{c}" for c in _CHANGES)}, lag(row_id) over w as previous from r where k is not null window w as (partition by k order by received_at, row_id))
+select row_id, previous, concat_ws(',', {", ".join(f"case when {c} is distinct from p_{c} then '{c}' end" for c in _CHANGES)}) as changed from l where previous is not null""")
+def revision_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns in which a delivery differs from the one before it."""
+    from pyspark.sql import Window
+
+    rows = read_table(spark, sf_dir, "invoices").select(normal_key("document_id").alias("k"), "received_at", "row_id", *_CHANGES).where("k is not null")
+    before = F.lag(F.struct("row_id", *_CHANGES)).over(Window.partitionBy("k").orderBy("received_at", "row_id"))
+    changed = [F.when(~F.col(c).eqNullSafe(F.col(f"_p.{c}")), F.lit(c)) for c in _CHANGES]
+    return rows.withColumn("_p", before).where("_p is not null").select("row_id", F.col("_p.row_id").alias("previous"), F.concat_ws(",", *changed).alias("changed"))
+
+
+@query("""select m.ground_truth is null as unnamed, m.ground_truth is not null and c.ground_truth is null as missing, count(*) as n_rows, count(distinct m.ground_truth) as n_paths from manifest m left join canonical_records c using (ground_truth) group by 1, 2""")
+def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_table(spark, sf_dir, "canonical_records").select("ground_truth", F.lit(True).alias("there"))
+    joined = read_table(spark, sf_dir, "manifest").select("ground_truth").join(records, "ground_truth", "left")
+    unnamed, missing = F.col("ground_truth").isNull(), F.col("ground_truth").isNotNull() & F.col("there").isNull()
+    return joined.groupBy(unnamed.alias("unnamed"), missing.alias("missing")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ground_truth").alias("n_paths"))
+
+
+@query(f"""with l as (select {_DKEY} as k, count(*) as n, count(distinct unit_code) as u from line_items where {_DKEY} is not null group by 1)
+select row_id, coalesce(n, 0) as n_lines, coalesce(u, 0) as n_units from invoices left join l on {_DKEY} = k""")
+def delivered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every invoice with the number of its lines, none counting as zero."""
+    lines = read_table(spark, sf_dir, "line_items").groupBy(normal_key("document_id").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit_code").alias("u")).where("k is not null")
+    invoices = read_table(spark, sf_dir, "invoices").select("row_id", normal_key("document_id").alias("k"))
+    return invoices.join(lines, "k", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce("u", F.lit(0)).alias("n_units"))
+
+
+@query(r"""select doc_id, nullif(regexp_extract(text, '(?s)[\{\[].*[\}\]]', 0), '') as json_span, cast(len(list_filter(list_transform(string_split(split_part(text, chr(10), 1), 'x'), lambda s: trim(s, ' ')), lambda s: s <> '')) as int) as n_cells from documents where text is not null""")
+def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outermost bracketed span of a text, and the non-empty cells of its first line split at x."""
+    first = F.split(F.split_part("text", F.lit("\n"), F.lit(1)), "x")
+    cells = F.filter(F.transform(first, lambda s: F.trim(s)), lambda s: s != "")
+    span = F.nullif(F.regexp_extract("text", r"(?s)[\{\[].*[\}\]]", 0), F.lit(""))
+    return read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", span.alias("json_span"), F.size(cells).alias("n_cells"))
+
+
+@query("""select source_family, array_to_string(list_sort(list_distinct(list(upper(trim(currency))))), ',') as codes, count(*) as n from invoices where currency is not null group by source_family""")
+def normal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted distinct upper-case codes per source; the set is bounded by the number of currencies."""
+    rows = read_table(spark, sf_dir, "invoices").where("currency is not null")
+    return rows.groupBy("source_family").agg(F.array_join(F.array_sort(F.collect_set(F.upper(F.trim("currency")))), ",").alias("codes"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""select user_id, concat_ws(',', case when count(*) filter (event_type = 'click') > 40 then 'click' end, case when count(*) filter (event_type = 'error') > 40 then 'error' end) as busy from events group by user_id""")
+def map_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a map whose values pass a test."""
+    counts = F.create_map(*[x for t in ("click", "error") for x in (F.lit(t), F.col(t))])
+    wide = read_table(spark, sf_dir, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == t).alias(t) for t in ("click", "error")])
+    return wide.select("user_id", F.array_join(F.map_keys(F.map_filter(counts, lambda k, v: v > 40)), ",").alias("busy"))
