@@ -14,7 +14,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MISSING = object()
+
+class MISSING:
+    """Stands for an absent value. A class, since it keeps its identity when functions are shipped to the executors."""
+
 
 
 def load(text: str | None) -> object:
