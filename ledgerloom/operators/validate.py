@@ -21,35 +21,36 @@ def finding(code: str, severity: str, when: Column, path: str, observed: Column
     none = F.lit(None).cast("string")
     return F.when(
         when,
-        F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(path).alias("field_path"), (none if observed is None else observed.cast("string")).alias("observed"), (none if calculated is None else D.text(calculated)).alias("calculated")),
+        F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(path).alias("field_path"), (none if observed is None else observed.cast("string")).alias("observed"), (none if calculated is None else calculated).alias("calculated")),
     )
 
 
-def _off(observed: str, calculated: Column) -> Column:
-    seen = D.parse(F.col(observed))
-    return F.abs(seen - calculated) > D.tolerance(F.col("currency"))
-
-
 def header_findings(invoices: DataFrame, today: str) -> DataFrame:
     """Adds `findings`, an array of (code, severity, field_path, observed, calculated)."""
-    z = lambda c: D.or_zero(F.col(c))
-    exclusive = z("line_extension_amount") - z("allowance_total_amount") + z("charge_total_amount")
-    inclusive = z("tax_exclusive_amount") + z("total_tax_amount")
-    payable = z("tax_inclusive_amount") - z("prepaid_amount") - z("withholding_total_amount") + z("rounding_amount")
-    date = X.iso_date(F.col("issue_date"))
-    units = D.minor_units(F.col("currency"))
+    # every amount is parsed once, in a projection of its own: the rules share the columns and stay small enough to compile
+    parsed = invoices.withColumns({f"_{m}": D.parse(F.col(m)) for m in MONEY} | {f"_scale_{m}": D.scale(F.col(m)) for m in MONEY})
+    parsed = parsed.withColumns({"_tolerance": D.tolerance(F.col("currency")), "_units": D.minor_units(F.col("currency"))})
+    z = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0).cast(D.TYPE))
+    _off = lambda observed, calculated: F.abs(F.col(f"_{observed}") - calculated) > F.col("_tolerance")
+    calculated = {}
+    calculated["_exclusive"] = z("line_extension_amount") - z("allowance_total_amount") + z("charge_total_amount")
+    calculated["_inclusive"] = z("tax_exclusive_amount") + z("total_tax_amount")
+    calculated["_payable"] = z("tax_inclusive_amount") - z("prepaid_amount") - z("withholding_total_amount") + z("rounding_amount")
+    parsed = parsed.withColumns(calculated | {"_date": X.iso_date(F.col("issue_date"))})
+    parsed = parsed.withColumns({f"_text{c}": D.text(F.col(c)) for c in calculated})
+    exclusive, inclusive, payable, date, units = (F.col(c) for c in ("_exclusive", "_inclusive", "_payable", "_date", "_units"))
     rules = [
         finding("DOCUMENT_TYPE_AMBIGUOUS", "CRITICAL", F.col("document_type") == "unknown", "/document_type"),
         finding("CURRENCY_MISSING_OR_AMBIGUOUS", "CRITICAL", X.blank(F.col("currency")), "/invoice/currency"),
         finding("PAYABLE_AMOUNT_MISSING", "CRITICAL", X.blank(F.col("payable_amount")), "/totals/payable_amount"),
         finding("AMBIGUOUS_DOCUMENT_DATE", "HIGH", ~X.blank(F.col("issue_date")) & date.isNull(), "/invoice/issue_date", F.col("issue_date")),
         finding("FUTURE_ISSUE_DATE", "HIGH", date > F.lit(today).cast("date"), "/invoice/issue_date", F.col("issue_date")),
-        finding("HEADER_TOTAL_MISMATCH", "CRITICAL", _off("tax_exclusive_amount", exclusive), "/totals/tax_exclusive_amount", F.col("tax_exclusive_amount"), exclusive),
-        finding("TAX_INCLUSIVE_TOTAL_MISMATCH", "CRITICAL", _off("tax_inclusive_amount", inclusive), "/totals/tax_inclusive_amount", F.col("tax_inclusive_amount"), inclusive),
-        finding("PAYABLE_TOTAL_MISMATCH", "CRITICAL", _off("payable_amount", payable), "/totals/payable_amount", F.col("payable_amount"), payable),
-        *[finding("CURRENCY_PRECISION_MISMATCH", "HIGH", units.isNotNull() & ~X.blank(F.col(m)) & (D.scale(F.col(m)).isNull() | (D.scale(F.col(m)) > units)), f"/totals/{m}", F.col(m)) for m in MONEY],
+        finding("HEADER_TOTAL_MISMATCH", "CRITICAL", _off("tax_exclusive_amount", exclusive), "/totals/tax_exclusive_amount", F.col("tax_exclusive_amount"), F.col("_text_exclusive")),
+        finding("TAX_INCLUSIVE_TOTAL_MISMATCH", "CRITICAL", _off("tax_inclusive_amount", inclusive), "/totals/tax_inclusive_amount", F.col("tax_inclusive_amount"), F.col("_text_inclusive")),
+        finding("PAYABLE_TOTAL_MISMATCH", "CRITICAL", _off("payable_amount", payable), "/totals/payable_amount", F.col("payable_amount"), F.col("_text_payable")),
+        *[finding("CURRENCY_PRECISION_MISMATCH", "HIGH", units.isNotNull() & ~X.blank(F.col(m)) & (F.col(f"_scale_{m}").isNull() | (F.col(f"_scale_{m}") > units)), f"/totals/{m}", F.col(m)) for m in MONEY],
     ]
-    return invoices.withColumn("findings", F.array_compact(F.array(*rules)))
+    return parsed.withColumn("findings", F.array_compact(F.array(*rules))).select(*[c for c in invoices.columns if c != "findings"], "findings")
 
 
 def line_reconciliation(lines: DataFrame, invoices: DataFrame) -> DataFrame:
