@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,19 @@ def build_session(master: str | None = None, cores: int | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever they and the driver were started. Once per context."""
+    context = spark.sparkContext
+    if not getattr(context, "_ledgerloom_shipped", False):
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="ledgerloom-code-")) / "ledgerloom.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for source in root.rglob("*.py"):
+                z.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(target))
+        context._ledgerloom_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

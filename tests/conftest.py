@@ -11,11 +11,12 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from ledgerloom.session import build_session
+    from ledgerloom.session import build_session, ship_package
 
     shared = tmp_path_factory.mktemp("shared")
     session = build_session("local[4]", 4, **{"spark.driver.memory": "3g", "spark.checkpoint.dir": f"file://{shared}", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     session.stop()
 
