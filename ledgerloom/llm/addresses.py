@@ -1,10 +1,12 @@
 """Address records that denote one location: blocking, component comparison and linkage weights by EM.
 
 Every distinct address is parsed into house number, street, kind of street, town, postcode and subdivision; floors,
-flats and buildings are set aside. Records meet if they share the house number and the postcode or one of two keys of
-the street's sound. The agreement levels of a pair (with levels of their own for missing values) give a pattern; the
-patterns' counts over all pairs are what expectation-maximization estimates the linkage weights from, so the fit sees
-every pair but only a table of at most 1,296 rows reaches the driver. Pairs above `MIN_PROBABILITY` whose street and
+flats and buildings are set aside. Records meet if they share the house number and one of the keys of `block_keys`: of
+the street's sound, the postcode, the town's sound, or ends of the street with an end of the postcode or with the kind
+of street and the country, so that a slip that changes the street's sound meets by what is left. The agreement levels of a pair (with levels of their own for missing values) give a pattern; the
+patterns' counts over the pairs alike in a whole street's sound or the postcode are what expectation-maximization
+estimates the linkage weights from (the other keys choose by town or kind, whose agreement would then tell nothing), so
+only a table of at most 1,296 rows reaches the driver. All pairs are judged by these weights. Pairs above `MIN_PROBABILITY` whose street and
 town do not contradict each other are linked; linked records form groups.
 
 Results by case:
@@ -143,6 +145,31 @@ def street_sounds(street: str) -> list[str]:
     return ["o" + "".join(code), "s" + "".join(sorted(set(street) - set("aeiouyh")))]
 
 
+def _ends(text: str) -> list[str]:
+    """Its first three letters and its last three, each marked."""
+    return ["<" + text[:3], text[-3:] + ">"]
+
+
+def block_keys(street: str, kind: str, city: str, postcode: str, country: str) -> list[str]:
+    """Keys of which records of one location share at least one, along with the house number.
+
+    A slip in the street that changes both of its sound keys leaves one of its ends; the town, the postcode or, where
+    one record lacks the town and the other the postcode, kind and country (which must agree then) make it selective.
+    """
+    keys = street_sounds(street) + ["e" + end + kind + "/" + country for end in _ends(street)]
+    if city:
+        keys.append("c" + street_sounds(city)[0])
+    if postcode:
+        keys += ["p" + postcode, "q" + "".join(sorted(postcode))]
+        keys += [f"{code}/{end}" for code in ("<" + postcode[:2], postcode[-2:] + ">") for end in _ends(street_sounds(street)[0][1:])]
+    return keys
+
+
+def alike_in_one(a: dict[str, str], b: dict[str, str]) -> bool:
+    """Whether a pair has the postcode or a sound key of the whole street in common."""
+    return bool(a["postcode"]) and a["postcode"] == b["postcode"] or any(x == y for x, y in zip(street_sounds(a["street"]), street_sounds(b["street"]), strict=False))
+
+
 def slips(a: str, b: str, most: int) -> int:
     """Edits, swaps of neighbours counting as one; more than `most` comes out as most + 1."""
     if abs(len(a) - len(b)) > most:
@@ -270,21 +297,25 @@ def address_links(parsed: DataFrame, min_probability: float = MIN_PROBABILITY) -
     copies = numbered.join(classes.withColumnRenamed("id", "b"), parts).select(F.col("id").alias("a"), "b")
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keys(number: pd.Series, street: pd.Series, postcode: pd.Series) -> pd.Series:
-        return pd.Series([[f"{n}/{k}" for k in [*street_sounds(s), *(["p" + p] if p else [])]] for n, s, p in zip(number, street, postcode, strict=True)])
+    def keys(number: pd.Series, *fields: pd.Series) -> pd.Series:
+        return pd.Series([[f"{n}/{k}" for k in block_keys(*f)] for n, *f in zip(number, *fields, strict=True)])
 
-    pairs = block_pairs(classes.select(F.explode(F.array_distinct(keys("number", "street", "postcode"))).alias("block"), "id"))
+    # short numbers instead of the keys: two keys of one hash only add a pair to compare
+    block = F.explode(F.array_distinct(keys("number", "street", "kind", "city", "postcode", "country")))
+    pairs = block_pairs(classes.select(block.alias("block"), "id").select(F.xxhash64("block").alias("block"), "id").distinct())
     side = lambda s: classes.select(F.col("id").alias(s), F.struct(*parts).alias(f"p{s}"))
 
-    @F.pandas_udf("array<int>")
-    def levels(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.Series:
-        return pd.Series([list(compare(x, y)) for x, y in zip(pa.to_dict("records"), pb.to_dict("records"), strict=True)])
+    @F.pandas_udf("pattern array<int>, basic boolean")
+    def levels(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.DataFrame:
+        both = list(zip(pa.to_dict("records"), pb.to_dict("records"), strict=True))
+        return pd.DataFrame({"pattern": [list(compare(x, y)) for x, y in both], "basic": [alike_in_one(x, y) for x, y in both]})
 
-    compared = store(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", levels("pa", "pb").alias("pattern")), "address-pairs")
-    counts = [(tuple(r["pattern"]), r["count"]) for r in compared.groupBy("pattern").count().collect()]  # at most 4*3*4*4*3*3 rows
+    compared = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", levels("pa", "pb").alias("levels"))
+    compared = store(compared.select("a", "b", "levels.pattern", "levels.basic"), "address-pairs")
+    counts = [(tuple(r["pattern"]), r["n"]) for r in compared.groupBy("pattern").agg(F.count_if("basic").alias("n")).collect()]  # at most 4*3*4*4*3*3 rows
     linked = []
     if counts:
-        fit = fit_weights(counts)
+        fit = fit_weights([c for c in counts if c[1]] or [(p, 1) for p, _ in counts])
         linked = [list(p) for p, _ in counts if may_match(p) and probability(p, *fit) >= min_probability]
     chosen = F.array(*[F.array(*[F.lit(v) for v in p]) for p in linked]) if linked else F.array().cast("array<array<int>>")
     found = compared.where(F.array_contains(chosen, F.col("pattern"))).select("a", "b")

@@ -55,6 +55,31 @@ def test_locations(spark):
     assert np.mean(first) > 0.95
 
 
+LOST = [
+    (("34 Velvcmark Street", "Halkavik", None, "GK7 2AW", "GB"), ("34 Velvemark Street", "Halkavik", None, None, "GB")),
+    (("187 Tarnyogate Lane", "Zelflemouth", None, "FL2 0W3Z", "GB"), ("187 Tamyogate Lane", "Zelflemouth", None, "FL2 03WZ", "GB")),
+    (("56 Thiiwen Weg", "Kordribacham", None, None, "DE"), ("56 Thifiwen Weg", None, None, "28412", "DE")),
+    (("107 Ostnuped Road", "Varmirandabad", None, "617226", "IN"), ("107 Osrnuped Road", None, None, "612726", "IN")),
+]
+
+
+def test_a_slip_in_both_sound_keys_and_the_postcode(spark):
+    rows = filler(60) + [r for pair in LOST for r in pair]
+    groups = {r.address_id: r.location for r in A.address_groups(table(spark, rows)).collect()}
+    first = len(rows) - 2 * len(LOST) + 1
+    assert [groups[first + i] for i in range(2 * len(LOST))] == [first + i // 2 * 2 for i in range(2 * len(LOST))]
+    before = {r.address_id: r.location for r in A.address_groups(table(spark, rows[: first - 1])).collect()}
+    assert before == {i: v for i, v in groups.items() if i < first}
+
+
+@pytest.mark.parametrize("a, b", LOST)
+def test_block_keys_meet_though_sound_and_postcode_differ(a, b):
+    x, y = (A.parse_address(r[0], r[1], r[3], r[2]) | {"country": r[4].lower()} for r in (a, b))
+    assert A.may_match(A.compare(x, y)) and not A.alike_in_one(x, y)
+    keys = lambda p: set(A.block_keys(*[p[f] for f in ("street", "kind", "city", "postcode", "country")]))
+    assert x["number"] == y["number"] and keys(x) & keys(y)
+
+
 def test_identical_texts_without_number_and_missing_lines(spark):
     rows = [("Old Mill", "Town", None, None, None), ("OLD MILL", "town", None, None, "GB"), ("Old Mill", "Other", None, None, None), (None, "Town", None, None, None), ("  ", "Town", None, None, None)]
     got = {r.address_id: r.location for r in A.address_groups(table(spark, rows)).collect()}
