@@ -4,7 +4,8 @@ First pass: in how many documents does each word n-gram of the items occur (coun
 item are its rare n-grams and, so that every stretch of it has one however often it leaked, the rarest n-gram of each
 `COVER` positions. Second pass: seeds found in a document open windows around them, and where enough n-grams of the item
 lie in a window, a local alignment of words with affine gaps scores it. A document holds the passage if the alignment
-spans at least `MIN_WORDS` words of the item, most of them and most of its names, codes and amounts matched.
+spans at least `MIN_WORDS` words of the item, most of them and most of its names, codes and amounts matched. An alignment
+that bridges an omitted stretch and fails is cut there and its pieces tested; then the text before and after it is aligned.
 
 The items are a stated set, not part of the corpus: they go to every task in blocks of at most `ITEM_BLOCK`, so what is
 broadcast is bounded, whatever the number of items. Documents are read whole and never shuffled.
@@ -47,6 +48,8 @@ MATCH, CLOSE, MISMATCH, MARKED, GAP, EXTEND = 1.0, 0.6, -1.0, 3.0, -2.0, -0.25
 #: must cover in a window to make it worth aligning.
 REACH = 40
 MIN_COVERED = 10
+#: Unmatched words of the item in a row at which an alignment that fails is cut.
+LONG_GAP = 8
 
 _TAG = re.compile(r"<[^<>]{1,300}>")
 _BROKEN = re.compile(r"[Â-ô][\u0080-¿Œœ-Ÿƒˆ˜–-™]{1,3}")
@@ -181,14 +184,20 @@ class ItemIndex:
         for item, places in seeded.items():
             best = (0.0, 0.0)
             text, share = self.items[item]
-            for lo, hi in _windows(places, len(text), len(words)):
+            parts = list(_windows(places, len(text), len(words)))
+            while parts:
+                lo, hi = parts.pop()
                 if len({q + k for p, q in hits[item] if lo <= p < hi and self.telling[item][q] for k in range(N)}) >= MIN_COVERED:
-                    best = max(best, self._score(item, text, share, words[lo:hi]))
+                    found = align(text, words[lo:hi], self.marked[item])
+                    score = self._score(item, share, found)
+                    best = max(best, score)
+                    if found and score[0] == 0:
+                        parts += [(lo, lo + found[0][1]), (lo + found[-1][1] + 1, hi)]
             if best[0] > 0:
                 yield item, round(best[0]), best[1]
 
-    def _score(self, item: int, text: list[str], share: list[float], window: list[str]) -> tuple[float, float]:
-        found = align(text, window, self.marked[item])
+    def _score(self, item: int, share: list[float], found: list[tuple[int, int, bool]]) -> tuple[float, float]:
+        """(words of the item spanned, share matched) of an alignment, or of its best piece; zeros if none will do."""
         if not found:
             return 0.0, 0.0
         first, last = found[0][0], found[-1][0]
@@ -198,7 +207,13 @@ class ItemIndex:
         hit = {i for i, _, _ in found}
         marked = sum(i in hit for i in marks) / len(marks) if marks else 1.0
         good = span >= MIN_WORDS - 0.5 and matched >= MIN_MATCHED * max(span, MIN_WORDS) and marked >= MIN_MARKED
-        return (span, matched / span) if good else (0.0, 0.0)
+        if good:
+            return span, matched / span
+        skipped = [y[0] - x[0] - 1 for x, y in zip(found, found[1:], strict=False)]
+        if not skipped or max(skipped) < LONG_GAP:
+            return 0.0, 0.0
+        cut = skipped.index(max(skipped)) + 1
+        return max(self._score(item, share, found[:cut]), self._score(item, share, found[cut:]))
 
 
 def _windows(places: list[int], length: int, end: int) -> Iterator[tuple[int, int]]:

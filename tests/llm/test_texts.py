@@ -45,6 +45,16 @@ def test_hot_items_repeats_empty_tables_and_long_texts(spark):
     assert found(spark, [ITEM, ITEM], [(1, ITEM), (2, ITEM)]) == [(0, 1), (0, 2), (1, 1), (1, 2)]
 
 
+def test_two_pieces_around_an_omitted_middle():
+    words = [f"Word{c}{d}x" for c in "abcdefgh" for d in "klmnopqrst"]
+    index = L.ItemIndex([(1, " ".join(words))])
+    index.choose_seeds({}, 20)
+    held = lambda *parts: [i for i, _, _ in index.held(L.tokens("Some text. " + " ".join(" ".join(p) for p in parts) + " More text."))]
+    assert held(words[:25]) == held(words[55:]) == held(words[:25], words[55:]) == [1]
+    assert held(words[:26], words[-12:]) == held(words[:12], words[-26:]) == [1]
+    assert held(words[:12], words[-12:]) == held(words[:12], words[34:46], words[-12:]) == []
+
+
 def test_seeds_cover_every_stretch():
     index = L.ItemIndex([(1, ITEM)])
     index.choose_seeds({k: 10**6 for k in index.number.values()}, 20)
