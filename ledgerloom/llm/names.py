@@ -31,9 +31,9 @@ from ledgerloom.llm.blocking import block_pairs
 from ledgerloom.session import store
 
 Q = 3
-ROWS_PER_BAND = 4
-#: Jaccard similarity at which the bands must still find this share of pairs.
-AIM_SIMILARITY = 0.5
+ROWS_PER_BAND = 3
+#: Jaccard similarity at which the bands must still find this share of pairs: about the lowest that the verifier accepts.
+AIM_SIMILARITY = 0.35
 AIM_RECALL = 0.95
 MIN_SIMILARITY = 0.84
 
@@ -269,8 +269,10 @@ def name_links(classes: DataFrame) -> DataFrame:
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([core_similarity(x, y) >= MIN_SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    # most pairs that merely share syllables fall here, before Python: the letters must be alike in either order
-    near = F.array_min(F.array(F.levenshtein("letters_a", "letters_b"), F.levenshtein("letters_a", "turned_b"), F.levenshtein("turned_a", "letters_b"))) <= 0.4 * F.greatest(F.length("letters_a"), F.length("letters_b"))
+    # most pairs that merely share syllables fall here, before Python: the letters must be alike in either order, but
+    # for abbreviated words, which lack letters, and for three or more words, which have other orders
+    spared = F.concat_ws(" ", "core_a", "core_b").contains(".") | F.col("core_a").rlike(r"\S \S+ \S") | F.col("core_b").rlike(r"\S \S+ \S")
+    near = spared | (F.array_min(F.array(F.levenshtein("letters_a", "letters_b"), F.levenshtein("letters_a", "turned_b"), F.levenshtein("turned_a", "letters_b"))) <= 0.4 * F.greatest(F.length("letters_a"), F.length("letters_b")))
     pairs = met.toDF("n_a", "n_b").join(core("a"), "n_a").join(core("b"), "n_b").where((F.col("kind_a") == F.col("kind_b")) & near)
     pairs = store(pairs.where(alike("core_a", "core_b")).select(F.col("kind_a").alias("kind"), "core_a", "core_b"), "core-links")
     like = pairs.unionByName(cores.select("kind", F.col("core").alias("core_a"), F.col("core").alias("core_b")))

@@ -73,3 +73,16 @@ def test_stars_are_those_of_the_greedy_order(spark, links, stars):
 def test_very_long_names(spark):
     long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x" for i in range(300))
     assert len(clusters(spark, [long, long.upper()])) == 2
+
+
+LOW = [("corxi. zellowick", "corxigard zellowck"), ("norkuwen thifiler", "norluwen thifielr"), ("belbr. belroler", "belbrirell bleroler"), ("braxi. rudtobach", "rudobach braxilach"), ("corve. orlgosen", "corvemere orlgoesn")]
+REORDERED = [("halkavik torsen penbamark", "penbamark torsen halkavik")]
+
+
+def test_low_overlaps_abbreviations_and_orders_meet(spark):
+    want = {(2 * i, 2 * i + 1) for i in range(len(LOW) + len(REORDERED))}
+    rows = [("firm", c, "", "", 2 * i + j) for i, pair in enumerate(LOW + REORDERED) for j, c in enumerate(pair)]
+    assert all(N.core_similarity(*p) >= N.MIN_SIMILARITY for p in LOW + REORDERED)
+    classes = spark.createDataFrame(rows, "kind string, core string, trait string, initials string, id long")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in N.name_links(classes).collect()}
+    assert want <= got
