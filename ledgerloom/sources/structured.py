@@ -27,9 +27,14 @@ PATHS = {
 }
 
 
+# Declarations and comments of any length before the root element.
+_PROLOGUE = r"(?s)^(?:[\s\x{FEFF}]++|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^\[>]*(?:\[.*?\]\s*)?>)*+"
+
+
 def vocabulary(xml: Column) -> Column:
-    head = F.substring(xml, 1, 4096)
-    return F.when(head.rlike(r"<(?:[\w.-]+:)?CrossIndustryInvoice\b"), "cii").when(head.rlike(r"<(?:[\w.-]+:)?(?:Invoice|CreditNote)\b"), "ubl")
+    """The vocabulary of the root element; null if it is another one."""
+    root = lambda names: xml.rlike(_PROLOGUE + rf"<(?:[\w.-]+:)?(?:{names})(?=[\s/>])")
+    return F.when(root("CrossIndustryInvoice"), "cii").when(root("Invoice|CreditNote"), "ubl")
 
 
 def mapped(documents: DataFrame, xml: str = "xml") -> DataFrame:
@@ -49,20 +54,21 @@ _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
 MAX_INFLATED = 2**20
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("xml", T.StringType()), T.StructField("issue", T.StringType())])))
 def embedded_xml(content: pd.Series) -> pd.Series:
-    """XML payloads in the streams of a PDF, inflated up to `MAX_INFLATED` bytes each, else as they are."""
+    """XML payloads in the streams of a PDF, inflated, else as they are; one of more than `MAX_INFLATED` bytes is an issue without XML."""
 
-    def one(data: bytes | None) -> list[str]:
+    def one(data: bytes | None) -> list[dict[str, str | None]]:
         found = []
         for m in _STREAM.finditer(data or b""):
             try:
-                body = zlib.decompressobj().decompress(m.group(1), MAX_INFLATED)
+                body = zlib.decompressobj().decompress(m.group(1), MAX_INFLATED + 1)
             except zlib.error:
                 body = m.group(1)
-            text = body.decode("utf-8", "replace").lstrip("﻿ \r\n\t")
+            text = body.decode("utf-8", "replace").lstrip("\ufeff \r\n\t")
             if text.startswith("<"):
-                found.append(text)
+                large = len(body) > MAX_INFLATED
+                found.append({"xml": None if large else text, "issue": f"stream over {MAX_INFLATED} bytes" if large else None})
         return found
 
     return content.map(one, na_action=None)
