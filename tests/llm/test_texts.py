@@ -45,22 +45,53 @@ def test_hot_items_repeats_empty_tables_and_long_texts(spark):
     assert found(spark, [ITEM, ITEM], [(1, ITEM), (2, ITEM)]) == [(0, 1), (0, 2), (1, 1), (1, 2)]
 
 
+def item_of(text):
+    words, share, cased = L.weighted_tokens(text)
+    return L.Item(words, share, cased)
+
+
 def test_two_pieces_around_an_omitted_middle():
     words = [f"Word{c}{d}x" for c in "abcdefgh" for d in "klmnopqrst"]
-    index = L.ItemIndex([(1, " ".join(words))])
-    index.choose_seeds({}, 20)
-    held = lambda *parts: [i for i, _, _ in index.held(L.tokens("Some text. " + " ".join(" ".join(p) for p in parts) + " More text."))]
-    assert held(words[:25]) == held(words[55:]) == held(words[:25], words[55:]) == [1]
-    assert held(words[:26], words[-12:]) == held(words[:12], words[-26:]) == [1]
-    assert held(words[:12], words[-12:]) == held(words[:12], words[34:46], words[-12:]) == []
-
-
-def test_seeds_cover_every_stretch():
-    index = L.ItemIndex([(1, ITEM)])
-    index.choose_seeds({k: 10**6 for k in index.number.values()}, 20)
-    words = index.items[1][0]
-    places = [p for p in range(len(words) - L.N + 1) if tuple(words[p : p + L.N]) in index.seeds]
-    assert max(b - a for a, b in zip(places, places[1:], strict=False)) <= L.COVER
+    item = item_of(" ".join(words))
+
+    def held(*parts):
+        text = L.tokens("Some text. " + " ".join(" ".join(p) for p in parts) + " More text.")
+        return item.held(text, [p for p in range(2, len(text) - 4)]) is not None
+
+    assert held(words[:25]) and held(words[55:]) and held(words[:25], words[55:])
+    assert held(words[:26], words[-12:]) and held(words[:12], words[-26:])
+    assert not held(words[:12], words[-12:]) and not held(words[:12], words[34:46], words[-12:])
+
+
+PROSE = "we walked along the river until the light began to fade and the birds went quiet, then sat on a fallen tree and ate what was left of the bread while the dog slept beside us in the grass"
+SENTENCES = "Please pay the amount within thirty days of the date of the letter. If the amount is not paid by then a reminder follows, and after two reminders the case goes to the office in charge of it."
+
+
+def test_plain_prose_and_ordinary_sentences_are_found_alone_and_beside_others(spark):
+    few = PROSE.split()
+    few[7], few[19], few[27] = "moon", "log", "cheese"
+    docs = ["before " + PROSE + " after", SENTENCES, PROSE.upper().replace(" ", "\n"), " ".join(few), " ".join(PROSE.split()[::-1]), " ".join(PROSE.split()[:16]), "nothing of the kind"]
+    for items in ([(1, PROSE), (2, SENTENCES)], [(1, PROSE), (2, SENTENCES), (3, ITEM)], [(1, PROSE), (2, SENTENCES), (3, ITEM.lower()), (4, PROSE + " " + ITEM.lower())]):
+        assert [x for x in found(spark, docs, items) if x[1] < 3] == [(0, 1), (1, 2), (2, 1), (3, 1)]
+
+
+def test_an_item_does_not_depend_on_others_that_share_its_names(spark):
+    other = "Falyonell and Zelnupryn met Norvegate, Rosgramere, Holgramere, Stacrekamp and Dravavik; none of them agreed to any of the terms that were put before the board in the spring of that year, falyonell zelnupryn norvegate rosgramere"
+    alone = found(spark, [ITEM, "Well. " + ITEM, "other text"])
+    assert alone == [(0, 1), (1, 1)] and found(spark, [ITEM, "Well. " + ITEM, "other text"], [(1, ITEM), (2, other)]) == alone
+
+
+def test_a_bound_never_rejects_what_the_alignment_accepts():
+    rng = random.Random(5)
+    item = item_of(ITEM)
+    for _ in range(60):
+        words = L.tokens(ITEM)
+        for _ in range(rng.randrange(14)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = rng.choice([["changed"], [words[at] + "x"], ["two", "words"], []])
+        slipped = item.slipped(set(words))
+        if item.score(item.align(words, slipped))[0]:
+            assert item.possible({*words}.union(*slipped.values()))
 
 
 @pytest.mark.parametrize("bits, dims", [(3, 2), (2, 3)])
