@@ -6,6 +6,8 @@ written partitioned by tag, and every table is read back from its own folder wit
 
 Results by case:
 - null, blank or unparsable payloads, and JSON without any root object, give one row in `rejects` and no other row;
+- JSON in a string within a payload that cannot be read gives a row in `rejects` under its parent; all else comes out;
+- any depth is walked; a payload nested deeper than the JSON reader goes (some thousands) is unreadable;
 - a list may be an array, a single object, an object of numbered entries, an object that wraps the array, or JSON in a
   string; nulls and scalars in it are skipped and take no position;
 - an absent parent attribute is null in the flat tables; numbers and booleans come out as their JSON text;
@@ -16,8 +18,10 @@ Results by case:
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -113,54 +117,49 @@ def _pick(node: dict, paths: tuple[tuple[str, ...], ...]) -> str | None:
     return None
 
 
-def _entries(value: object, marks: frozenset[str]) -> Iterator[dict]:
-    """The objects of a list in any of its shapes, in payload order."""
-    if isinstance(value, str):
-        if value.lstrip()[:1] in ("[", "{"):
-            try:
-                value = json.loads(value, parse_int=str, parse_float=str)
-            except ValueError:
-                return
-            if not isinstance(value, str):
-                yield from _entries(value, marks)
-    elif isinstance(value, list):
-        for x in value:
-            yield from _entries(x, marks)
-    elif isinstance(value, dict):
-        if marks & value.keys():
-            yield value
-        else:
-            for x in value.values():
-                if isinstance(x, (dict, list)):
-                    yield from _entries(x, marks)
-
-
-def _below(node: dict, level: Level) -> Iterator[dict]:
-    for key, value in node.items():
-        if key == level.key:
-            yield from _entries(value, level.marks)
-        elif key in level.under:
-            for group in value if isinstance(value, list) else [value]:
-                if isinstance(group, dict):
-                    yield from _below(group, level)
-
-
-def _roots(value: object, level: Level) -> Iterator[dict]:
-    if isinstance(value, str):
-        if value.lstrip()[:1] in ("[", "{"):
-            try:
-                yield from _roots(json.loads(value, parse_int=str, parse_float=str), level)
-            except ValueError:
-                return
-    elif isinstance(value, list):
-        for x in value:
-            yield from _roots(x, level)
-    elif isinstance(value, dict):
-        if level.marks & value.keys():
-            yield value
+_NESTED = re.compile(r"\s*[\[{]")
+#: Text that must have been meant as JSON.
+_MEANT = re.compile(r"\s*(?:\{\s*\"|\[\s*[\[{\"])")
+
+
+def _objects(value: object, marks: frozenset[str], bad: list[str], texts_in_objects: bool = False) -> Iterator[dict]:
+    """The objects of a list in any of its shapes, in payload order; `bad` takes what is wrong with JSON in a string.
+
+    With an explicit stack: records may be nested deeper than calls can.
+    """
+    stack = [value]
+    while stack:
+        value = stack.pop()
+        if isinstance(value, str):
+            if _NESTED.match(value):
+                try:
+                    inner = json.loads(value, parse_int=str, parse_float=str)
+                except (ValueError, RecursionError) as e:
+                    if _MEANT.match(value):
+                        bad.append(str(e)[:200])
+                else:
+                    stack.append(inner)
+        elif isinstance(value, list):
+            stack += reversed(value)
+        elif isinstance(value, dict):
+            if marks & value.keys():
+                yield value
+            else:
+                stack += [x for x in reversed(value.values()) if texts_in_objects or isinstance(x, (dict, list))]
+
+
+def _below(node: dict, level: Level, bad: list[str]) -> Iterator[dict]:
+    stack = [iter(node.items())]
+    while stack:
+        for key, value in stack[-1]:
+            if key == level.key:
+                yield from _objects(value, level.marks, bad)
+            elif key in level.under:
+                groups = value if isinstance(value, list) else [value]
+                stack.append(chain.from_iterable(g.items() for g in groups if isinstance(g, dict)))
+                break
         else:
-            for x in value.values():
-                yield from _roots(x, level)
+            stack.pop()
 
 
 Row = tuple[str, str, "str | None", "list[int]", str]
@@ -175,18 +174,28 @@ def visit(payload: str | None, level: Level = INVOICE) -> Iterator[Row]:
         return
     found = False
     depths = _depths(level)
-    for at, root in enumerate(_roots(tree, level), 1):
+    bad: list[str] = []
+    for at, root in enumerate(_objects(tree, level.marks, bad, texts_in_objects=True), 1):
         found = True
         yield from _emit(root, level, depths, [at], None, {})
+    yield from _unread(bad, None)
     if not found:
         yield REJECTS, "0", None, [0], _json({"reason": "empty" if tree is None else "no record"})
 
 
+def _unread(bad: list[str], parent: str | None) -> Iterator[Row]:
+    """A row for each part that cannot be read, under the row that should have held it."""
+    for i, detail in enumerate(bad, 1):
+        yield REJECTS, f"{parent}.x{i}" if parent else f"x{i}", parent, [0], _json({"reason": "unreadable part", "detail": detail})
+
+
 def _emit(node: dict, level: Level, depths: dict[str, int], positions: list[int], parent: str | None, inherited: dict[str, str | None]) -> Iterator[Row]:
     key = ".".join(map(str, positions))
     values = inherited | {c: _pick(node, paths) for c, paths in level.columns.items()}
-    below = [(child, list(_below(node, child))) for child in level.children]
+    bad: list[str] = []
+    below = [(child, list(_below(node, child, bad))) for child in level.children]
     yield level.tag, key, parent, positions, _json({c: v for c, v in values.items() if v is not None} | {f"n_{child.tag}": len(rows) for child, rows in below})
+    yield from _unread(bad, key)
     passed = inherited | {c: values[c] for c in level.pass_on}
     for child, rows in below:
         # rows that hang above the deepest place of their table (taxes of the document) take position 0 in between

@@ -9,6 +9,7 @@ Results by case:
   never units of the row;
 - no quantity, an unreadable one, or no known unit: `common_unit` and the amounts are null, the row stays;
 - a spelling that fits units of two kinds or factors equally well is unknown;
+- amounts of 10^18 or more are unreadable; if thousandths of the common unit do not fit a bigint, they are null;
 - amounts are exact: factors are fractions of integers, thousandths are rounded half away from zero;
 - repeated rows are kept; an empty table gives an empty one; extra columns are ignored.
 """
@@ -135,9 +136,11 @@ def alias_dictionary(spellings: DataFrame, spelling: str = "spelling", max_cost:
     letter. The cheapest name wins; if names of different units are equally cheap, the spelling is unknown.
     """
     spark = spellings.sparkSession
+    # each letter more costs at least half, so longer spellings are beyond `max_cost` of every name
+    longest = int(max(len(n) for n, _ in _names()) * (1 + 2 * max_cost)) + 1
     names = spark.createDataFrame(_names(), "name string, unit string").withColumn("gram", F.explode(_grams(F.col("name"))))
     names = names.withColumn("n_name", F.size(_grams(F.col("name"))))
-    written = spellings.select(F.col(spelling).alias("spelling"), normal_unit(spelling).alias("plain")).where(F.length("plain").between(1, 40) & ~F.col("plain").isin(*_FILLER))
+    written = spellings.select(F.col(spelling).alias("spelling"), normal_unit(spelling).alias("plain")).where(F.length("plain").between(1, longest) & ~F.col("plain").isin(*_FILLER))
     plain = written.select("plain").distinct().withColumn("gram", F.explode(_grams(F.col("plain")))).withColumn("n_plain", F.size(_grams(F.col("plain"))))
     # the index of the fixed list of names has a few hundred postings, whatever the data
     met = plain.join(F.broadcast(names), "gram").groupBy("plain", "name", "unit").agg(F.count("*").alias("shared"), F.first("n_plain").alias("n_plain"), F.first("n_name").alias("n_name"))
@@ -160,8 +163,8 @@ _SAYS = (
     r"|(?:\bUOM\s*:|\bunit of measure\s*:?|\bbilled (?:by|in|per)(?:\s+the)?)\s+(.+?)\s*$"
     r"|\b(?:quantity|qty|menge|quantité|qté|cantidad)\s+(?:given\s+)?(?:in|en)\s+([^:()]+(?:\(US\))?)\s*(?:\)\s*$|:|$))"
 )
-#: Amounts from here on count as unreadable; below it, thousandths of every common unit fit a bigint.
-MAX_AMOUNT = 10**12
+#: Thousandths of the common unit from here on do not fit a bigint; such rows have `common_quantity` only.
+MAX_MILLI = 9.2e18
 _NUMBER = r"^\s*([-+−]?\s*\d[\d.,'’\s]*)"
 _PLAIN = r"^-?\d+(\.\d+)?$"
 
@@ -224,7 +227,6 @@ def normalise_quantities(
     sources = ("unit", "quantity", "description")
     first = F.coalesce(*[F.when(F.col(f"_e{i}").isNotNull(), F.struct(F.lit(s).alias("source"), F.col(f"_s{i}").alias("spelling"), F.col(f"_e{i}").alias("e"))) for i, s in enumerate(sources)])
     out = out.withColumn("_hit", first).withColumn("_amount", quantity_number(F.col("_quantity")).try_cast("decimal(24,6)"))
-    out = out.withColumn("_amount", F.when(F.abs("_amount") < MAX_AMOUNT, F.col("_amount")))
     known = F.col("_hit").isNotNull() & F.col("_amount").isNotNull()
     # exact: |amount| in millionths * 1000 * num / (den * 10^6), half away from zero
     scaled = "cast(abs(_amount) * 1000000 as decimal(27, 0))"
@@ -237,7 +239,7 @@ def normalise_quantities(
         F.col("_hit.e.unit").alias("unit"),
         F.when(known, F.col("_hit.e.common_unit")).alias("common_unit"),
         F.col("_amount").alias("amount"),
-        F.when(known, F.expr(milli)).alias("quantity_milli"),
+        F.when(known & (F.abs(F.col("_amount").cast("double") * factor) * 1000 < MAX_MILLI), F.expr(milli)).alias("quantity_milli"),
         F.when(known, F.col("_amount").cast("double") * factor).alias("common_quantity"),
         F.when(known & F.col("_price").isNotNull(), F.col("_price") / F.when(F.col("_base") != 0, F.col("_base")).otherwise(F.when(F.col("_base").isNull(), F.lit(1.0))) / factor).alias("price_per_common_unit"),
         (F.col("_hit.e.num") == F.col("_hit.e.den")).alias("is_common"),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.nested import flatten_records
+from ledgerloom.operators.nested import INVOICE, flatten_records
 from ledgerloom.operators.orphans import orphan_counts, orphan_references
 from ledgerloom.operators.units import normalise_quantities
 from ledgerloom.session import read_table
@@ -35,7 +35,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flat(tag: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return flatten_records(read_table(spark, sf_dir, "approved_batch"))[tag].drop("positions")
+        # the detail of a reject is the reader's own message
+        return flatten_records(read_table(spark, sf_dir, "approved_batch"))[tag].drop("positions", "detail")
 
     return query
 
@@ -113,3 +114,56 @@ SQL = {
     "p3_found": _P3 + "select child_table, row_id, ref_field, reason, ref_month from refs",
     "p3_counts": _P3 + "select child_table, ref_field, ref_month, reason, count(*) as n_rows from refs group by all",
 }
+
+_LEVELS = {"lines": INVOICE.children[1], "taxes": INVOICE.children[0], "invoices": INVOICE}
+
+
+def _walk(name, base, marks, texts):
+    """CTE `name`: objects with any of the marks below the values `j` of `base` (columns k, path, j), in order."""
+    ms=", ".join(f"'{m}'" for m in sorted(marks))
+    child = "true" if texts else "json_type(v) in ('OBJECT','ARRAY')"
+    return f"""{name}_w(k, path, j) as (select k, path, j from ({base}) where j is not null union all
+      select k, list_append(path, i), v from (
+        select k, path, generate_subscripts(vs, 1) as i, unnest(vs) as v, json_type(j) = 'OBJECT' as o from (
+          select k, path, j, case json_type(j) when 'ARRAY' then cast(j as json[]) when 'OBJECT' then list_transform(json_keys(j), lambda x: json_extract(j, '$."' || x || '"'))
+            else case when regexp_matches(json_extract_string(j, '$'), '^\\s*[\\[{{]') and json_valid(json_extract_string(j, '$')) then [cast(json_extract_string(j, '$') as json)] else [] end end as vs
+          from {name}_w where json_type(j) in ('ARRAY', 'VARCHAR') or json_type(j) = 'OBJECT' and not list_has_any(json_keys(j), [{ms}])))
+      where not o or {child}),
+    {name} as (select *, cast(row_number() over (partition by k order by path) as int) as pos from {name}_w where json_type(j) = 'OBJECT' and list_has_any(json_keys(j), [{ms}]))"""
+
+
+def _text(j,*paths):
+    one=lambda p: f"case when json_type(json_extract({j}, '$.{p}')) not in ('OBJECT','ARRAY','NULL') then json_extract_string({j}, '$.{p}') end"
+    return "coalesce(" + ", ".join(map(one,paths)) + ")"
+
+
+def _columns(tag: str, j: str = "j") -> str:
+    return ", ".join(f"{_text(j, *('.'.join(p) for p in paths))} as {c}" for c, paths in _LEVELS[tag].columns.items())
+
+
+_P1 = f"""with recursive {_walk('r', "select struct_pack(record_id := record_id, n := row_number() over ()) as k, [0::bigint] as path, case when json_valid(ltrim(payload, chr(65279))) then cast(ltrim(payload, chr(65279)) as json) end as j from approved_batch", INVOICE.marks, True)},
+inv as (select k.record_id as record_id, struct_pack(k := k, pos := pos) as k, {_columns('invoices')}, j from r),
+lists as (select k, [list_position(json_keys(j), 'line_items')::bigint] as path, json_extract(j, '$.line_items') as j from inv where list_contains(json_keys(j), 'line_items')
+  union all select k, [list_position(json_keys(j), 'sections')::bigint, i], json_extract(s, '$.line_items') from (select k, j, unnest(ss) as s, generate_subscripts(ss, 1) as i from (select k, j, case json_type(json_extract(j, '$.sections')) when 'ARRAY' then cast(json_extract(j, '$.sections') as json[]) when 'OBJECT' then [json_extract(j, '$.sections')] else [] end as ss from inv)) where json_type(s) = 'OBJECT'),
+{_walk('l', "select * from lists", _LEVELS["lines"].marks, False)},
+lines as (select k, pos, {_columns('lines')}, j from l),
+{_walk('d', "select k, [0::bigint] as path, json_extract(j, '$.tax_breakdowns') as j from inv", _LEVELS["taxes"].marks, False)},
+{_walk('t', "select struct_pack(k := k, pos := pos) as k, [0::bigint] as path, json_extract(j, '$.tax_breakdowns') as j from lines", _LEVELS["taxes"].marks, False)},
+taxes as (select k, 0 as line_pos, cast(null as varchar) as line_id, pos as tax_pos, {_columns('taxes')} from d
+ union all select l.k, l.pos, l.line_id, t.pos, {_columns('taxes', 't.j')} from t join lines l on t.k.k = l.k and t.k.pos = l.pos)
+"""
+_HEAD = "document_id, region_pack_id, source_family"
+_P1_SQL = {
+    "p1_found": """select record_id, coalesce(document_id, '') as document_id, line_pos, coalesce(line_id, '') as line_id, tax_pos, coalesce(tax_type, '') as tax_type, coalesce(region_pack_id, '') as region_pack_id, coalesce(source_family, '') as source_family
+from (select k, line_pos, line_id, tax_pos, tax_type from taxes union all select k, pos, line_id, 0, '' from lines l where not exists (select 1 from t where t.k.k = l.k and t.k.pos = l.pos)) join inv using (k)""",
+    "p1_invoices": f"""select record_id, cast(k.pos as varchar) as row_key, cast(null as varchar) as parent_key, {", ".join(INVOICE.columns)}, coalesce(nt, 0) as n_taxes, coalesce(nl, 0) as n_lines
+from inv left join (select k, cast(count(*) as int) as nt from d group by k) using (k) left join (select k, cast(count(*) as int) as nl from l group by k) using (k)""",
+    "p1_lines": f"""select record_id, k.pos || '.' || lines.pos as row_key, cast(k.pos as varchar) as parent_key, {_HEAD}, {", ".join("lines." + c for c in _LEVELS["lines"].columns)}, coalesce(nt, 0) as n_taxes
+from lines join inv using (k) left join (select k.k as k, k.pos as pos, cast(count(*) as int) as nt from t group by all) n using (k, pos)""",
+    "p1_taxes": f"""select record_id, k.pos || '.' || line_pos || '.' || tax_pos as row_key, k.pos || case when line_pos > 0 then '.' || line_pos else '' end as parent_key, {_HEAD}, line_id, {", ".join("taxes." + c for c in _LEVELS["taxes"].columns)} from taxes join inv using (k)""",
+}
+SQL |= {name: _P1 + sql for name, sql in _P1_SQL.items()}
+SQL["p1_rejects"] = f"""with recursive {_walk('r', "select record_id as k, [0::bigint] as path, case when json_valid(ltrim(payload, chr(65279))) then cast(ltrim(payload, chr(65279)) as json) end as j from approved_batch", INVOICE.marks, True)},
+p as (select record_id, payload, case when json_valid(ltrim(payload, chr(65279))) then json_type(ltrim(payload, chr(65279))) end as kind from approved_batch)
+select record_id, '0' as row_key, cast(null as varchar) as parent_key, case when payload is null or kind = 'NULL' then 'empty' when kind is null then 'unreadable' else 'no record' end as reason
+from p where record_id not in (select k from r)"""

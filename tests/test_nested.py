@@ -33,6 +33,22 @@ def test_unreadable_and_empty_payloads_are_rejects():
         assert [t for t, _, _ in tags(payload)] == ["rejects"]
 
 
+def test_deep_payloads_are_walked_or_rejected():
+    record = json.dumps({"document_id": "d", "line_items": [{"line_id": 1}]})
+    for depth in (900, 3000):
+        assert tags('{"a":' * depth + record + "}" * depth) == tags("[" * depth + record + "]" * depth) == [("invoices", "1", None), ("lines", "1.1", "1")]
+    assert [t for t, _, _ in tags("[" * 20_000 + record + "]" * 20_000)] == ["rejects"]
+    deep_lines = '{"document_id": "d", "line_items": ' + '{"x":' * 3000 + '{"line_id": 1}' + "}" * 3001
+    assert tags(deep_lines) == [("invoices", "1", None), ("lines", "1.1", "1")]
+
+
+def test_unreadable_parts_are_rejects_and_the_rest_comes_out():
+    rows = list(visit(json.dumps({"document_id": "d", "tax_breakdowns": '[{"tax_type": "V"', "line_items": [{"line_id": 1, "tax_breakdowns": '{"rate": '}, "[see below]"]})))
+    assert [r[:3] for r in rows] == [("invoices", "1", None), ("rejects", "1.x1", "1"), ("lines", "1.1", "1"), ("rejects", "1.1.x1", "1.1")]
+    assert json.loads(rows[1][4])["reason"] == "unreadable part"
+    assert [r[:2] for r in visit(json.dumps([{"a": '[{"document_id": 1'}, {"document_id": "d"}]))] == [("invoices", "1"), ("rejects", "x1")]
+
+
 def test_numbers_keep_their_text_and_strings_stand_for_objects():
     rows = list(visit('{"document_id": 7, "source": "ubl", "locale": {"applied_region_pack": "p1"}, "line_items": [{"line_id": 10, "quantity": 1.50}]}'))
     invoice, line = (json.loads(r[4]) for r in rows)
