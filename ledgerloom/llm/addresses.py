@@ -1,17 +1,18 @@
 """Address records that denote one location: blocking, component comparison and linkage weights by EM.
 
 Every distinct address is parsed into house number, street, kind of street, town, postcode and subdivision; floors,
-flats and buildings are set aside. Records meet if they share the house number and one of the keys of `block_keys`: of
-the street's sound, the postcode, the town's sound, or ends of the street with an end of the postcode or with the kind
-of street and the country, so that a slip that changes the street's sound meets by what is left. The agreement levels of a pair (with levels of their own for missing values) give a pattern; the
-patterns' counts over the pairs alike in a whole street's sound or the postcode are what expectation-maximization
-estimates the linkage weights from (the other keys choose by town or kind, whose agreement would then tell nothing), so
-only a table of at most 1,296 rows reaches the driver. All pairs are judged by these weights. Pairs above `MIN_PROBABILITY` whose street and
-town do not contradict each other are linked; linked records form groups.
+flats and buildings are set aside. Records meet if they share the digits of the house number and one of the keys of
+`block_keys`, each of which names the street together with the town or the postcode, by sound or by an end, so that a slip in
+one part meets by what is left and a block does not grow with the number of towns. The agreement levels of a pair
+(with levels of their own for missing values) give a pattern; the patterns' counts over the pairs alike in a whole street's
+sound or the postcode are what expectation-maximization estimates the linkage weights from, so only a table of at most
+5,184 rows reaches the driver. All pairs are judged by these weights. Pairs above `MIN_PROBABILITY` whose number, street
+and town do not contradict each other are linked; linked records form groups.
 
 Results by case:
 - records of identical text (line, town, postcode; case and accents aside) are one location, also without a house number;
 - without a house number no other record is linked; a null line is no address; a null town or postcode is a level;
+- letters of all scripts count; numbers in the name of a street (5th Avenue, Calle 42) must agree;
 - parts in the wrong field (town or postcode in the line) are moved to theirs; the town named twice counts once;
 - repeated rows of one address_id are collapsed first, its smallest texts taken if they differ; empty tables give none.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.blocking import block_pairs
 from ledgerloom.llm.graph import connected_components
-from ledgerloom.session import store
+from ledgerloom.session import lookup_join, store
 
 MIN_PROBABILITY = 0.9
 #: Weight, in pairs, of the starting values during estimation.
@@ -51,7 +52,7 @@ _UNIT = re.compile(
     r"|\d+\s*(?:st|nd|rd|th|er|eme|e|o|a|\.)?\s*(?:floor|fl|og|etage|stock|piso|planta|izq|dcha|etg)\b.*|\d+\s*[oa]\s+(?:izq|dcha|a|b|c|d)\b.*)$"
 )
 _UNIT_WITHIN = re.compile(r"\b(?:floor|flat|unit|suite|apt|apartment|room|piso|etage|bureau|building|bat)\s+[\da-z]{1,3}\b|\bhinterhaus\b")
-_NUMBER = re.compile(r"(?:\b(?:nr|no|num|numero|n)\b[\s.:]*|#\s*)?(?<![\w])(\d{1,5}(?:\s?(?:bis|ter)|[a-d])?(?:-\d{1,4})?)(?![\w])")
+_NUMBER = re.compile(r"(?:\b(?:nr|no|num|numero|n)\b[\s.:]*|#\s*)?(?<![\w])(\d{1,5}(?:\s?(?:bis|ter)|[a-z])?(?:-\d{1,4})?)(?![\w])")
 _POSTCODE = re.compile(r"^(?:[a-z]{1,2}-)?(?:\d{5}(?:-\d{4})?|\d{6}|\d{3} \d{2,3}|[a-z]{1,2}\d[a-z\d]?\s?\d[a-z]{2}|[a-z]\d[a-z]\s?\d[a-z]\d|(?=[a-z\d ]{6,8}$)(?=(?:.*\d){3})(?=(?:.*[a-z]){3})[a-z\d]+(?: [a-z\d]+)?|(?=[a-z\d ]{6,8}$)(?=(?:.*\d){2})(?=(?:.*[a-z]){4})[a-z\d]+ [a-z\d]+)$")
 _LOOKALIKES = str.maketrans("015", "ols")
 
@@ -70,7 +71,13 @@ def _word(word: str) -> str:
 
 
 def _letters(text: str) -> str:
-    return "".join(c for c in "".join(_word(w) for w in re.findall(r"[a-z0-9]+", text)) if c.isalpha())
+    """The letters of all scripts, words joined. Numbers stay where they are the name (5th Avenue, Calle 42), else they are none."""
+    words = [_word(w) for w in re.findall(r"[^\W_]+", text)]
+    numbered = [m.group(1) + "#" if (m := _ORDINAL.fullmatch(w)) else "".join(c for c in w if c.isalpha()) for w in words]
+    return "".join(numbered) or "".join(f"{w}#" for w in words)
+
+
+_ORDINAL = re.compile(r"(\d{1,3})(?:st|nd|rd|th|er|re|eme|ieme|e|o)")
 
 
 def normal_postcode(text: str) -> str:
@@ -89,7 +96,7 @@ def _street(part: str) -> tuple[str, str, str]:
         hit = found[0] if found[0].start() == 0 or len(found) == 1 else found[-1]
         number = re.sub(r"\s", "", hit.group(1))
         part = part[: hit.start()] + " " + part[hit.end() :]
-    words = [w for w in re.findall(r"[a-z0-9]+\.?", part) if w not in ("nr.", "no.", "nr", "no", "n", "n.")]
+    words = [w for w in re.findall(r"[^\W_]+\.?", part) if w not in ("nr.", "no.", "nr", "no", "n", "n.")]
     kind, rest = "", []
     for i, w in enumerate(words):
         bare = w.rstrip(".")
@@ -113,7 +120,7 @@ def parse_address(line: str | None, city: str | None, postcode: str | None, subd
     for part in (p.strip() for p in plain(line).split(",")):
         if not part or _UNIT.match(part):
             continue
-        if _POSTCODE.match(part) and not (part.isdigit() and len(part) < 5):
+        if _POSTCODE.match(part) and not (part.isdigit() and len(part) < 5) and part.split()[0] not in _KIND:
             out["postcode"] = out["postcode"] or normal_postcode(part)
         else:
             rest.append(_UNIT_WITHIN.sub(" ", part).strip())
@@ -124,6 +131,9 @@ def parse_address(line: str | None, city: str | None, postcode: str | None, subd
         scores = [bool(re.search(r"(?<!\w)\d", p)) * 2 + bool(_street(p)[1]) for p in named]
         at = scores.index(max(scores))
         out["street"], out["kind"], out["number"] = _street(named.pop(at))
+    if numbers and out["number"] and out["street"] in _KIND:
+        # nothing but a kind of street and a number is its name, where the house number stands apart
+        out["kind"], out["street"], out["number"] = _KIND[out["street"]], f"{out['number']}#", ""
     if numbers and not out["number"]:
         out["number"] = re.sub(r"[^\da-z-]|^(?:nr|no|n)", "", re.sub(r"^(?:n o|nr|no|num|n)\b[\s.]*", "", numbers[0]))
     if named and not out["city"]:
@@ -131,18 +141,24 @@ def parse_address(line: str | None, city: str | None, postcode: str | None, subd
     return out
 
 
+_CLASSES = str.maketrans("bfpvwcgjkqsxzdtlmnr", "AAAAABBBBBBBBCCDEEF")
+_SILENT = frozenset("aeiouyh")
+
+
 def street_sounds(street: str) -> list[str]:
-    """Two keys: a code of consonant classes in order, and the sorted set of consonants (blind to swapped letters)."""
+    """Two keys: a code of consonant classes in order, and the sorted set of consonants (blind to swapped letters).
+
+    Digits and letters of other scripts stand for themselves.
+    """
     if not street:
         return []
-    classes = str.maketrans("bfpvwcgjkqsxzdtlmnr", "1111122222222334556")
     code, last = [], ""
     for c in street:
-        x = c.translate(classes)
-        if x.isdigit() and x != last:
+        x = "" if c in _SILENT else c.translate(_CLASSES)
+        if x and x != last:
             code.append(x)
-        last = x if x.isdigit() else ""
-    return ["o" + "".join(code), "s" + "".join(sorted(set(street) - set("aeiouyh")))]
+        last = x
+    return ["o" + "".join(code), "s" + "".join(sorted(set(street) - _SILENT))]
 
 
 def _ends(text: str) -> list[str]:
@@ -151,17 +167,25 @@ def _ends(text: str) -> list[str]:
 
 
 def block_keys(street: str, kind: str, city: str, postcode: str, country: str) -> list[str]:
-    """Keys of which records of one location share at least one, along with the house number.
+    """Keys of which records of one location share at least one, along with the digits of the house number.
 
-    A slip in the street that changes both of its sound keys leaves one of its ends; the town, the postcode or, where
-    one record lacks the town and the other the postcode, kind and country (which must agree then) make it selective.
+    Each names the street (by its sounds, or by an end of it where a slip changes both sounds) together with the town (by an
+    end of its sound, since names of towns come with and without appendix) or the postcode, so that a street name of
+    every town is not one block. Records that lack the town or the postcode also meet by street, kind and country.
     """
-    keys = street_sounds(street) + ["e" + end + kind + "/" + country for end in _ends(street)]
+    sounds = street_sounds(street)
+    ends = _ends(street)
+    keys = []
     if city:
-        keys.append("c" + street_sounds(city)[0])
+        code = street_sounds(city)[0][1:]
+        # short codes whole: towns of few consonants would all be alike
+        towns = {"c" + code[:3], "d" + code[-3:]}
+        keys += [f"{s}/{t}" for s in [*sounds, *ends] for t in towns]
     if postcode:
         keys += ["p" + postcode, "q" + "".join(sorted(postcode))]
-        keys += [f"{code}/{end}" for code in ("<" + postcode[:2], postcode[-2:] + ">") for end in _ends(street_sounds(street)[0][1:])]
+        keys += [f"{s}/{t}" for s in [*sounds, *_ends(sounds[0][1:])] for t in ("<" + postcode[:2], postcode[-2:] + ">")]
+    if not city or not postcode:
+        keys += [f"{s}/{kind}/{country}" for s in [*sounds, *ends]]
     return keys
 
 
@@ -190,14 +214,35 @@ def slips(a: str, b: str, most: int) -> int:
 
 
 def _text_level(a: str, b: str, most: int) -> int:
-    """3 missing, 2 equal, 1 close, 0 different."""
+    """3 missing, 2 equal, 1 close, 0 different. Other numbers in a name are another name."""
     if not a or not b:
         return 3
     if a == b:
         return 2
+    if _numbers(a) != _numbers(b):
+        return 0
     return int(slips(a, b, min(most, max(len(a), len(b)) // 4)) <= min(most, max(len(a), len(b)) // 4))
 
 
+def _numbers(text: str) -> list[str]:
+    return re.findall(r"\d+#", text) if "#" in text else []
+
+
+def house(number: str) -> str:
+    """The digits that a house number begins with."""
+    return re.match(r"\d*", number).group(0)
+
+
+def _number_level(a: str, b: str) -> int:
+    """3 missing, 2 equal, 1 one is a part of the other (12 and 12-14), 0 another house (12 and 12a too)."""
+    if not a or not b:
+        return 3
+    if a == b:
+        return 2
+    x, y = (n.split("-") for n in (a, b))
+    return int(x[0] == y[0] and (len(x) > 1) != (len(y) > 1))
+
+
 def _city_level(a: str, b: str) -> int:
     """As texts; a town without its appendix (am See, les Bains, Springs) is close to the full name."""
     level = _text_level(a, b, 3)
@@ -217,15 +262,15 @@ def _subdivision_level(a: str, b: str) -> int:
     return int(short[0] == long[0] and all(c in it for c in short) or slips(a, b, 2) <= 2)
 
 
-FIELDS = ("street", "kind", "city", "postcode", "subdivision", "country")
+FIELDS = ("number", "street", "kind", "city", "postcode", "subdivision", "country")
 #: Agreement levels of each field; the last is 'missing'.
-LEVELS = {"street": 4, "kind": 3, "city": 4, "postcode": 4, "subdivision": 3, "country": 3}
+LEVELS = {"number": 4, "street": 4, "kind": 3, "city": 4, "postcode": 4, "subdivision": 3, "country": 3}
 
 
 def compare(a: dict[str, str], b: dict[str, str]) -> tuple[int, ...]:
     kind = 2 if not a["kind"] or not b["kind"] else int(a["kind"] == b["kind"])
     country = 2 if not a["country"] or not b["country"] else int(a["country"] == b["country"])
-    return (_text_level(a["street"], b["street"], 3), kind, _city_level(a["city"], b["city"]), _text_level(a["postcode"], b["postcode"], 2), _subdivision_level(a["subdivision"], b["subdivision"]), country)
+    return (_number_level(a["number"], b["number"]), _text_level(a["street"], b["street"], 3), kind, _city_level(a["city"], b["city"]), _text_level(a["postcode"], b["postcode"], 2), _subdivision_level(a["subdivision"], b["subdivision"]), country)
 
 
 def fit_weights(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
@@ -261,8 +306,8 @@ def probability(pattern: tuple[int, ...], share: float, m: list[np.ndarray], u:
 
 def may_match(pattern: tuple[int, ...]) -> bool:
     """The exact check: a location is street, number and town. Another town needs the same postcode to be a slip."""
-    street, kind, city, postcode, subdivision, country = pattern
-    if street not in (1, 2) or city == 0 and (postcode != 2 or street != 2) or city == 3 and postcode == 0:
+    number, street, kind, city, postcode, subdivision, country = pattern
+    if number not in (1, 2) or street not in (1, 2) or city == 0 and (postcode != 2 or street != 2) or city == 3 and postcode == 0:
         return False
     # one names only the town, the other only the postcode: everything else must agree
     return not (city == 3 and postcode == 3) or kind == 1 and subdivision != 0 and country == 1
@@ -291,14 +336,16 @@ def parsed_addresses(parties: DataFrame) -> DataFrame:
 def address_links(parsed: DataFrame, min_probability: float = MIN_PROBABILITY) -> DataFrame:
     """(a, b) of address ids linked to one location; members of one class of equal components are chained to its first."""
     parts = ["number", "street", "kind", "city", "postcode", "subdivision", "country"]
-    same_text = parsed.groupBy("text").agg(F.min("id").alias("b"), F.collect_set("id").alias("ids")).where(F.size("ids") > 1).select(F.explode("ids").alias("a"), "b")
+    # copies are chained to the first of their class: by salted joins, since one text may be a third of all records
+    shared = parsed.groupBy("text").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("text", "b")
+    same_text = lookup_join(parsed.select("id", "text"), shared, ["text"], "id", "inner", small=False).select(F.col("id").alias("a"), "b")
     numbered = parsed.where("number <> '' and street <> ''")
     classes = store(numbered.groupBy(*parts).agg(F.min("id").alias("id")), "address-classes")
-    copies = numbered.join(classes.withColumnRenamed("id", "b"), parts).select(F.col("id").alias("a"), "b")
+    copies = lookup_join(numbered.select("id", *parts), classes.withColumnRenamed("id", "b"), parts, "id", "inner", small=False).select(F.col("id").alias("a"), "b")
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def keys(number: pd.Series, *fields: pd.Series) -> pd.Series:
-        return pd.Series([[f"{n}/{k}" for k in block_keys(*f)] for n, *f in zip(number, *fields, strict=True)])
+        return pd.Series([[f"{house(n)}/{k}" for k in block_keys(*f)] for n, *f in zip(number, *fields, strict=True)])
 
     # short numbers instead of the keys: two keys of one hash only add a pair to compare
     block = F.explode(F.array_distinct(keys("number", "street", "kind", "city", "postcode", "country")))
@@ -312,7 +359,7 @@ def address_links(parsed: DataFrame, min_probability: float = MIN_PROBABILITY) -
 
     compared = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", levels("pa", "pb").alias("levels"))
     compared = store(compared.select("a", "b", "levels.pattern", "levels.basic"), "address-pairs")
-    counts = [(tuple(r["pattern"]), r["n"]) for r in compared.groupBy("pattern").agg(F.count_if("basic").alias("n")).collect()]  # at most 4*3*4*4*3*3 rows
+    counts = [(tuple(r["pattern"]), r["n"]) for r in compared.groupBy("pattern").agg(F.count_if("basic").alias("n")).collect()]  # at most 4*4*3*4*4*3*3 rows
     linked = []
     if counts:
         fit = fit_weights([c for c in counts if c[1]] or [(p, 1) for p, _ in counts])

@@ -80,6 +80,29 @@ def test_block_keys_meet_though_sound_and_postcode_differ(a, b):
     assert x["number"] == y["number"] and keys(x) & keys(y)
 
 
+def test_numbers_in_street_names_and_all_scripts(spark):
+    line = lambda text: A.parse_address(text, "X", None, None)
+    assert line("120 5th Avenue")["street"] != line("120 7th Avenue")["street"] and line("120 5th Avenue")["street"] == line("5th Ave 120")["street"]
+    assert line("12, Calle 42")["street"] != line("12, Calle 43")["street"]
+    rows = [
+        ("120 5th Avenue", "Calmera", None, "58433", "US"), ("120 7th Avenue", "Calmera", None, "58433", "US"), ("120 5th Ave, Suite 3", "Calmera", None, "58433", "US"),
+        ("ул. Ленина 14", "Москва", None, "101000", "RU"), ("14 ул Ленина", "Москва", None, "101000", "RU"), ("ул. Гагарина 14", "Москва", None, "101000", "RU"),
+        ("東京通り 7", "大阪", None, "530001", "JP"), ("7 東京通り", "大阪", None, "530001", "JP"),
+        ("12e Halkaweg", "Wolden", None, "20001", "DE"), ("Halkaweg 12e", "Wolden", None, "20001", "DE"), ("Halkaweg 12f", "Wolden", None, "20001", "DE"),
+    ]
+    got = {r.address_id: r.location for r in A.address_groups(table(spark, rows + filler(40))).collect()}
+    assert [got[i] for i in range(1, 12)] == [1, 2, 1, 4, 4, 6, 7, 7, 9, 9, 11]
+
+
+def test_one_street_name_in_many_towns_is_not_one_block(spark):
+    rng = np.random.default_rng(3)
+    syllables = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+    towns = ["".join(rng.choice(syllables, 5)).title() for _ in range(400)]
+    keys = [set(A.block_keys("hauptstrasse", "", A._letters(A.plain(t)), str(10000 + 173 * i), "de")) for i, t in enumerate(towns)]
+    shared = sum(bool(keys[i] & keys[j]) for i in range(400) for j in range(i))
+    assert shared < 0.05 * 400 * 399 / 2
+
+
 def test_identical_texts_without_number_and_missing_lines(spark):
     rows = [("Old Mill", "Town", None, None, None), ("OLD MILL", "town", None, None, "GB"), ("Old Mill", "Other", None, None, None), (None, "Town", None, None, None), ("  ", "Town", None, None, None)]
     got = {r.address_id: r.location for r in A.address_groups(table(spark, rows)).collect()}
@@ -96,7 +119,7 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
 
 
 def test_em_separates_patterns():
-    patterns = [((2, 1, 2, 2, 1, 1), 500), ((1, 1, 2, 2, 1, 1), 200), ((2, 1, 3, 1, 2, 1), 100), ((0, 0, 0, 0, 0, 0), 300), ((2, 0, 0, 0, 0, 0), 40), ((0, 1, 0, 0, 2, 1), 100)]
+    patterns = [((2, 2, 1, 2, 2, 1, 1), 500), ((2, 1, 1, 2, 2, 1, 1), 200), ((2, 2, 1, 3, 1, 2, 1), 100), ((2, 0, 0, 0, 0, 0, 0), 300), ((0, 2, 0, 0, 0, 0, 0), 40), ((2, 0, 1, 0, 0, 2, 1), 100)]
     fit = A.fit_weights(patterns)
     assert [A.probability(p, *fit) > 0.9 for p, _ in patterns] == [True, True, True, False, False, False]
 
