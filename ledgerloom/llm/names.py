@@ -19,6 +19,8 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -67,6 +69,35 @@ _LEGAL_RE = re.compile(r"(?:^|[\s,(])\(?(?:" + "|".join(re.escape(f).replace(r"\
 _LOOKALIKES = str.maketrans("015", "ols")
 
 
+#: A word is common, a trade or a first name rather than a part of one name, if it stands beside this share of the distinct
+#: spellings' other words, at least `COMMON_LEAST`, of `COMMON_STARTS` beginnings (typos of one word begin alike).
+COMMON_SHARE = 0.002
+COMMON_LEAST = 8
+COMMON_STARTS = 8
+
+
+@dataclass(frozen=True)
+class Learned:
+    """Trades and first names learned from the names themselves, beside the listed ones."""
+
+    trades: frozenset[str] = frozenset()
+    firsts: frozenset[str] = frozenset()
+
+    def trade_of(self, word: str) -> str | None:
+        """The trade that a word is, with a slip or abbreviated; only if there is one such."""
+        bare = word.rstrip(".")
+        if bare in self.trades:
+            return bare
+        if word.endswith(".") and len(bare) > 2:
+            like = [t for t in self.trades if t.startswith(bare)]
+        else:
+            like = [t for t in self.trades if len(bare) > 4 and abs(len(t) - len(bare)) < 2 and slips(bare, t, 1) <= 1]
+        return like[0] if len(like) == 1 else None
+
+
+NOTHING = Learned()
+
+
 def _plain(name: str) -> str:
     text = unicodedata.normalize("NFKD", name.replace("ß", "ss"))
     return re.sub(r"\s+", " ", "".join(c for c in text if not unicodedata.combining(c)).lower()).strip()
@@ -86,14 +117,14 @@ def _slipped_business(words: list[str]) -> tuple[str, int, int] | None:
     return None
 
 
-def parse_name(name: str | None) -> tuple[str, str, str, str] | None:
+def parse_name(name: str | None, learned: Learned = NOTHING) -> tuple[str, str, str, str] | None:
     """(kind, core words, line of business or first name, initials) or None for filler.
 
     kind: firm or person. An abbreviated core word keeps its full stop. A person known by an initial only has an empty
     first name; `initials` are the letters that an initial of this first name can be.
     """
     text = _plain(name or "")
-    if not re.search(r"[^\W\d_]", text) or re.sub(r"[^a-z ]", " ", text).strip() in FILLER or re.sub(r"[^a-z]", "", text) in FILLER:
+    if not re.search(r"[^\W\d_]", text) or re.sub(r"[\W\d_]", " ", text).strip() in FILLER or re.sub(r"[\W\d_]", "", text) in FILLER:
         return None
     text = re.sub(r"\w{4,}", lambda m: m.group(0).translate(_LOOKALIKES) if not m.group(0).isdigit() else m.group(0), text)
     body = re.sub(r"\bdipl\.?-?\s*ing\.?", " ", text)
@@ -105,27 +136,32 @@ def parse_name(name: str | None) -> tuple[str, str, str, str] | None:
         # a word for the business stands behind or before the core, never alone
         hit = hits[-1]
         rest = stripped[: hit.start()] + " " + stripped[hit.end() :]
-        if re.search(r"[a-z]{3}", rest):
+        if re.search(r"[^\W\d_]{3}", rest):
             form = re.sub(r"[^a-z]+", " ", hit.group(1)).strip()
             squeezed = form.replace(" ", "")
             business = next(b for f, b in _BUSINESS if f.replace(" ", "") == squeezed)
             stripped = rest
-    words = [w for w in re.findall(r"[a-z]+\.?", re.sub(r"[&+/]|\band\b|\bund\b|\bet\b|\by\b", " ", stripped)) if w.rstrip(".") not in TITLES]
+    words = [w for w in re.findall(r"[^\W\d_]+\.?", re.sub(r"[&+/]|\band\b|\bund\b|\bet\b|\by\b", " ", stripped)) if w.rstrip(".") not in TITLES]
     if legal and not business and (found := _slipped_business(words)) or not business and len(words) > 2 and (found := _slipped_business(words)):
         business = found[0]
         words = words[: found[1]] + words[found[2] :]
+    if not business and learned.trades and len(words) > 1:
+        for at in (len(words) - 1, 0):
+            if trade := learned.trade_of(words[at]):
+                business, words = trade, words[:at] + words[at + 1 :]
+                break
     if not words:
         return ("firm", business, business, "") if business else None
     if not (legal or business):
         singles = [w for w in words if len(w.rstrip(".")) == 1]
         rest = [w for w in words if len(w.rstrip(".")) > 1]
-        firsts = [i for i in ([0, len(rest) - 1] if len(rest) > 1 else []) if rest[i].rstrip(".") in _PET]
+        firsts = [i for i in ([0, len(rest) - 1] if len(rest) > 1 else []) if rest[i].rstrip(".") in _PET or rest[i] in learned.firsts]
         if not firsts and len(rest) > 2:
             firsts = [i for i in (0, len(rest) - 1) if len(rest[i]) > 4 and any(slips(rest[i], n, 1) <= 1 for n in FIRST_NAMES)]
         if firsts:
             raw = rest.pop(firsts[0]).rstrip(".")
-            full = _PET.get(raw) or next(n for n in FIRST_NAMES if slips(raw, n, 1) <= 1)
-            return ("person", " ".join(rest), full, "".join(sorted({raw[0], full[0], *(p[0] for p in FIRST_NAMES[full].split())})))
+            full = _PET.get(raw) or (raw if raw in learned.firsts else next(n for n in FIRST_NAMES if slips(raw, n, 1) <= 1))
+            return ("person", " ".join(rest), full, "".join(sorted({raw[0], full[0], *(p[0] for p in FIRST_NAMES.get(full, "").split())})))
         if singles and rest:
             return ("person", " ".join(rest), "", singles[0][0])
         words = rest or words
@@ -137,6 +173,7 @@ def complete(kind: str, core: str, trait: str) -> bool:
     return bool(trait) and "." not in core
 
 
+@lru_cache(maxsize=300_000)
 def _likeness(a: str, b: str) -> float:
     if a.endswith(".") or b.endswith("."):
         short, long = sorted((a.rstrip("."), b.rstrip(".")), key=len)
@@ -206,16 +243,39 @@ def bands_for(similarity: float = AIM_SIMILARITY, rows: int = ROWS_PER_BAND, rec
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
+_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letter_bag(core: str) -> int:
+    """The letters of a core as 64 bits: one for the first and one for the second time of a letter (of 32 kinds).
+
+    The bits in which two bags differ are at most the letters by which the cores differ, in whatever order: an edit changes two.
+    """
+    bag, seen = 0, set()
+    for c in _LETTERS.sub("", core):
+        kind = ord(c) % 32
+        bag |= 1 << (kind + 32 * (kind in seen))
+        seen.add(kind)
+    return bag - (1 << 64) if bag >> 63 else bag
+
+
+#: Share of letters by which cores that the verifier accepts can differ at most: its mean likeness leaves 0.16 of the
+#: letters to edits of two letters each, and somewhat more where long words differ and short ones do not; an abbreviated
+#: core may lack any letters of the other, but has few that the other lacks.
+MAX_APART = 0.4
+MAX_LACKING = 0.3
+
+
 def _band_keys(cores: list[str], bands: int, rows: int) -> list[list[int]]:
     rng = np.random.default_rng(20240229)
     odd = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
     mix = rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
     out = []
     for core in cores:
-        text = re.sub(r"[^a-z]", "", core) or "^"
+        text = _LETTERS.sub("", core) or "^"
         # padded with its own beginning: turned words keep all q-grams, joined and split ones too
         text += (text * Q)[: Q - 1]
-        grams = np.array(sorted({(ord(text[i]) << 14) + (ord(text[i + 1]) << 7) + ord(text[i + 2]) for i in range(len(text) - Q + 1)}), dtype=np.uint64)
+        grams = np.array(sorted({(ord(text[i]) << 42) + (ord(text[i + 1]) << 21) + ord(text[i + 2]) for i in range(len(text) - Q + 1)}), dtype=np.uint64)
         mixed = _scramble(grams)
         low = _scramble(mixed[:, None] * odd[None, :]).min(axis=0).reshape(bands, rows)
         key = _scramble((low * mix[None, :]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
@@ -233,20 +293,53 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 PARSED = "name string, weight long, kind string, core string, trait string, initials string"
 
 
+_KNOWN_WORDS = frozenset(w for f in LEGAL_FORMS.split("|") for w in f.split()) | TITLES | frozenset(_PET) | frozenset(w for f, _ in _BUSINESS for w in f.split())
+
+
+def learn(spellings: DataFrame) -> Learned:
+    """Common words of distinct spellings (name) that the lists lack, by where they stand: trades beside legal forms and
+    last, first names first in names without one. There are at most a few per `COMMON_SHARE`, whatever the number of rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name in batch["name"]:
+                text = _plain(name)
+                stripped = _LEGAL_RE.sub(" ", text)
+                legal = stripped != text
+                words = [w for w in re.findall(r"[^\W\d_]{3,}", stripped) if w not in TITLES]
+                for i, w in enumerate(words):
+                    near = words[i + 1] if i + 1 < len(words) else words[i - 1]
+                    if w not in _KNOWN_WORDS and len(words) > 1:
+                        rows.append((w, near, legal and i == len(words) - 1, not legal and i == 0))
+            yield pd.DataFrame(rows, columns=["word", "near", "last", "first"])
+
+    n = spellings.count()
+    met = spellings.select("name").mapInPandas(run, "word string, near string, last boolean, first boolean")
+    # two partial aggregates: no word's neighbours are gathered anywhere
+    pairs = met.groupBy("word", "near").agg(F.count(F.lit(1)).alias("n"), F.count_if("last").alias("last"), F.count_if("first").alias("first"))
+    words = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("near"), F.sum("n").alias("n"), F.sum("last").alias("last"), F.sum("first").alias("first"))
+    common = words.where((F.col("near") >= COMMON_LEAST) & (F.col("near") >= COMMON_SHARE * n))
+    starts = pairs.join(common.select("word"), "word").select("word", F.substring("near", 1, 2).alias("s")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("starts"))
+    found = common.join(starts.where(F.col("starts") >= COMMON_STARTS), "word").collect()
+    return Learned(frozenset(r["word"] for r in found if r["last"] > 0.3 * r["n"]), frozenset(r["word"] for r in found if r["first"] > 0.5 * r["n"]))
+
+
 def parsed_names(sources: list[DataFrame]) -> DataFrame:
     """The distinct spellings of one-column tables, parsed, with their number of rows. Filler is left out."""
     rows = None
     for s in sources:
         one = s.toDF("name").where("name is not null")
         rows = one if rows is None else rows.unionByName(one)
-    counted = rows.groupBy("name").agg(F.count(F.lit(1)).alias("weight"))
+    counted = store(rows.groupBy("name").agg(F.count(F.lit(1)).alias("weight")), "spellings")
+    learned = learn(counted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(n, w, *p) for n, w in batch[["name", "weight"]].itertuples(index=False) if (p := parse_name(n)) is not None]
+            found = [(n, w, *p) for n, w in batch[["name", "weight"]].itertuples(index=False) if (p := parse_name(n, learned)) is not None]
             yield pd.DataFrame(found, columns=["name", "weight", "kind", "core", "trait", "initials"])
 
-    return counted.mapInPandas(run, PARSED)
+    return counted.repartition(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name").mapInPandas(run, PARSED)
 
 
 def name_links(classes: DataFrame) -> DataFrame:
@@ -257,10 +350,13 @@ def name_links(classes: DataFrame) -> DataFrame:
     def keys(core: pd.Series) -> pd.Series:
         return pd.Series(_band_keys(core.tolist(), bands, ROWS_PER_BAND))
 
+    @F.pandas_udf(T.LongType())
+    def bag(core: pd.Series) -> pd.Series:
+        return pd.Series([letter_bag(c) for c in core], dtype="int64")
+
     # cores meet once, whatever trades or first names they occur with; those of firms and of people never meet
-    letters = F.regexp_replace("core", "[^a-z]", "")
-    turned = F.regexp_replace(F.regexp_replace("core", r"^(\S+) (.*)$", "$2$1"), "[^a-z]", "")
-    cores = store(classes.select("kind", "core").distinct().select(F.monotonically_increasing_id().alias("n"), "kind", "core", letters.alias("letters"), turned.alias("turned")), "name-cores")
+    numbered = classes.select("kind", "core").distinct().select(F.monotonically_increasing_id().alias("n"), "kind", "core")
+    cores = store(numbered.withColumns({"bag": bag("core"), "size": F.length(F.regexp_replace("core", r"[^\p{L}]", ""))}), "name-cores")
     spread = cores.repartition(int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n")
     met = block_pairs(spread.select(F.explode(keys("core")).alias("key"), "kind", F.col("n").alias("id")).select(F.xxhash64("key", "kind").alias("block"), "id"))
     core = lambda s: cores.select(*[F.col(c).alias(f"{c}_{s}") for c in cores.columns])
@@ -269,10 +365,11 @@ def name_links(classes: DataFrame) -> DataFrame:
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([core_similarity(x, y) >= MIN_SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    # most pairs that merely share syllables fall here, before Python: the letters must be alike in either order, but
-    # for abbreviated words, which lack letters, and for three or more words, which have other orders
-    spared = F.concat_ws(" ", "core_a", "core_b").contains(".") | F.col("core_a").rlike(r"\S \S+ \S") | F.col("core_b").rlike(r"\S \S+ \S")
-    near = spared | (F.array_min(F.array(F.levenshtein("letters_a", "letters_b"), F.levenshtein("letters_a", "turned_b"), F.levenshtein("turned_a", "letters_b"))) <= 0.4 * F.greatest(F.length("letters_a"), F.length("letters_b")))
+    # pairs that merely share syllables fall here, before Python, by a bound that loses none: letters in any order
+    a, b = F.col("bag_a"), F.col("bag_b")
+    lacking = F.least(F.bit_count(a.bitwiseAND(F.bitwise_not(b))), F.bit_count(b.bitwiseAND(F.bitwise_not(a))))
+    short = F.concat("core_a", "core_b").contains(".")
+    near = F.when(short, lacking <= MAX_LACKING * F.least("size_a", "size_b")).otherwise(F.bit_count(a.bitwiseXOR(b)) <= MAX_APART * F.greatest("size_a", "size_b"))
     pairs = met.toDF("n_a", "n_b").join(core("a"), "n_a").join(core("b"), "n_b").where((F.col("kind_a") == F.col("kind_b")) & near)
     pairs = store(pairs.where(alike("core_a", "core_b")).select(F.col("kind_a").alias("kind"), "core_a", "core_b"), "core-links")
     like = pairs.unionByName(cores.select("kind", F.col("core").alias("core_a"), F.col("core").alias("core_b")))

@@ -1,4 +1,6 @@
 import itertools
+import random
+
 
 import pytest
 
@@ -86,3 +88,53 @@ def test_low_overlaps_abbreviations_and_orders_meet(spark):
     classes = spark.createDataFrame(rows, "kind string, core string, trait string, initials string, id long")
     got = {(min(r.a, r.b), max(r.a, r.b)) for r in N.name_links(classes).collect()}
     assert want <= got
+
+
+def test_names_of_all_scripts_are_kept_and_linked(spark):
+    names = ["Анна Петрова", "АННА ПЕТРОВА", "Петрова, Анна", "Анна Сидорова", "Νίκος Παπαδόπουλος", "Παπαδοπουλος Νικος", "山田電機 株式会社", "山田電機株式会社", "田中印刷", "Sørensen Łódzki GmbH", "Sørensen Łodzki"]
+    got = {r.name: r.cluster for r in N.name_clusters([spark.createDataFrame([(n,) for n in names], "n string")]).collect()}
+    assert set(got) == set(names)
+    same = [{got[n] for n in g} for g in (names[:3], names[3:4], names[4:6], names[6:8], names[8:9], names[9:])]
+    assert all(len(x) == 1 for x in same) and len(set().union(*same)) == 6
+    assert N.parse_name("Не применимо") is not None and N.parse_name("N/A") is None
+
+
+def test_trades_and_first_names_that_no_list_has_are_learned(spark):
+    rng = random.Random(2)
+    syllables = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(4)).title()
+    firms, people = [word() for _ in range(80)], [word() for _ in range(80)]
+    rows = [f"{f} Bakeries Ltd" for f in firms[:40]] + [f"{f} Florists GmbH" for f in firms[40:]] + [f"Ingrid {p}" for p in people[:40]] + [f"Sigurd {p}" for p in people[40:]]
+    more = [f"{firms[0]} Ltd", f"{firms[1]} Bak. Ltd", f"{firms[2]} Bakreies Ltd", f"{firms[3]} Florists Ltd", f"I. {people[0]}", f"{people[1]}, Ingrid", f"Sigurd {people[2]}"]
+    df = spark.createDataFrame([(n,) for n in rows + more], "n string")
+    learned = N.learn(df.withColumnRenamed("n", "name").distinct())
+    assert learned.trades == {"bakeries", "florists"} and learned.firsts == {"ingrid", "sigurd"}
+    got = {r.name: r.cluster for r in N.name_clusters([df]).collect()}
+    mates = [rows[0], rows[1], rows[2], rows[3], rows[80], rows[81], rows[82]]
+    assert [got[a] == got[b] for a, b in zip(more, mates, strict=True)] == [True, True, True, False, True, True, False]
+
+
+def test_the_bound_on_letters_loses_no_link():
+    rng = random.Random(4)
+    syllables = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(2, 6)))
+    letters = lambda c: len(N._LETTERS.sub("", c))
+    links = 0
+    for _ in range(4000):
+        words = [word() for _ in range(rng.randrange(1, 5))]
+        core, other = " ".join(words), list(words)
+        for _ in range(rng.randrange(1, 5)):
+            i = rng.randrange(len(other))
+            w = other[i]
+            at = rng.randrange(len(w))
+            other[i] = rng.choice([w[:at] + w[at + 1 :] or w, w[:at] + rng.choice("aeioubdk") + w[at:], w[:at] + rng.choice("aeioubdk") + w[at + 1 :], w[: max(3, at)] + ".", w])
+        rng.shuffle(other)
+        mate = " ".join(other)
+        if N.core_similarity(core, mate) >= N.MIN_SIMILARITY:
+            links += 1
+            a, b = N.letter_bag(core) % 2**64, N.letter_bag(mate) % 2**64
+            if "." in core + mate:
+                assert min((a & ~b).bit_count(), (b & ~a).bit_count()) <= N.MAX_LACKING * min(letters(core), letters(mate)), (core, mate)
+            else:
+                assert (a ^ b).bit_count() <= N.MAX_APART * max(letters(core), letters(mate)), (core, mate)
+    assert links > 500
