@@ -32,3 +32,21 @@ def block_pairs(members: DataFrame, chunk: int = CHUNK, distinct: bool = True) -
     # the planner takes a side that explode or Python makes large for a small one; without the hint it broadcasts it
     pairs = left.join(right.hint("merge"), keys).where("a < b").select("a", "b")
     return pairs.distinct() if distinct else pairs
+
+
+def crossed_pairs(left: DataFrame, right: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(a, b) of all left and right ids that share a block; both tables have block and id, each pair of them once.
+
+    Blocks with more than `chunk` members on a side are cut by hashes of the ids on both sides, as in `block_pairs`.
+    """
+    left, right = left.select("block", "id").dropna(), right.select("block", "id").dropna()
+    counts = left.groupBy("block").agg(F.count(F.lit(1)).alias("n")).unionByName(right.groupBy("block").agg(F.count(F.lit(1)).alias("n")))
+    hot = store(counts.groupBy("block").agg(F.max("n").alias("n")).where(F.col("n") > chunk).select("block", F.ceil(F.col("n") / chunk).cast("int").alias("c")), "hot-blocks")
+    if hot.isEmpty():
+        return left.withColumnRenamed("id", "a").join(right.withColumnRenamed("id", "b").hint("merge"), "block").select("a", "b")
+
+    def cut(df: DataFrame, name: str, mine: str, other: str) -> DataFrame:
+        sized = lookup_join(df, hot, ["block"], "id").withColumn("c", F.coalesce("c", F.lit(1)))
+        return sized.select("block", F.col("id").alias(name), F.pmod(F.xxhash64("id"), F.col("c")).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias(other))
+
+    return cut(left, "a", "i", "j").join(cut(right, "b", "j", "i").hint("merge"), ["block", "i", "j"]).select("a", "b")

@@ -21,6 +21,11 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap.overlap_report(_same(spark, sf_dir))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every manifest row with its class of sameness."""
+    return split_overlap.same_rows(read_table(spark, sf_dir, "manifest"), read_table(spark, sf_dir, "canonical_records")).select("manifest_id", "split", F.col("component").alias("class_id"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.group_pairs(addresses.address_groups(read_table(spark, sf_dir, "parties")))
 
@@ -68,5 +73,5 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.level_profile(store(p9_levels(spark, sf_dir), "levels"), documents)
 
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_clusters": p6_clusters, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_passages": p8_passages, "p9_levels": p9_levels, "p9_profile": p9_profile}
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_classes": p4_classes, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_clusters": p6_clusters, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_passages": p8_passages, "p9_levels": p9_levels, "p9_profile": p9_profile}
 SQL: dict[str, str] = {}
