@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -194,23 +195,44 @@ def alike_in_one(a: dict[str, str], b: dict[str, str]) -> bool:
     return bool(a["postcode"]) and a["postcode"] == b["postcode"] or any(x == y for x, y in zip(street_sounds(a["street"]), street_sounds(b["street"]), strict=False))
 
 
+@lru_cache(maxsize=300_000)
+def letter_bag(text: str) -> int:
+    """The characters of a text as 64 bits: one for the first and one for the second time of a character (of 32 kinds).
+
+    An edit changes two bits at most and a swap none, so texts whose bags differ in more than 2n bits differ by more than n.
+    """
+    bag = 0
+    for c in text:
+        bit = 1 << ord(c) % 32
+        bag |= bit << 32 if bag & bit else bit
+    return bag
+
+
 def slips(a: str, b: str, most: int) -> int:
-    """Edits, swaps of neighbours counting as one; more than `most` comes out as most + 1."""
-    if abs(len(a) - len(b)) > most:
+    """Edits, swaps of neighbours counting as one; more than `most` comes out as most + 1.
+
+    Bit-parallel, a column of the table in one number (Hyyrö, A bit-vector algorithm for computing Levenshtein and Damerau
+    edit distances, 2003).
+    """
+    n = len(a)
+    if abs(n - len(b)) > most or (letter_bag(a) ^ letter_bag(b)).bit_count() > 2 * most:
         return most + 1
-    before: list[int] = []
-    row = list(range(len(b) + 1))
+    if a == b or not n:
+        return min(len(b), most + 1) if a != b else 0
+    places: dict[str, int] = {}
     for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            v = min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1)
-            if before and j and x == b[j - 1] and a[i - 1] == y:
-                v = min(v, before[j - 1] + 1)
-            new.append(v)
-        if min(new) > most:
-            return most + 1
-        before, row = row, new
-    return min(row[-1], most + 1)
+        places[x] = places.get(x, 0) | 1 << i
+    full, last = (1 << n) - 1, 1 << n - 1
+    up, down, diagonal, before, found = full, 0, 0, 0, n
+    for y in b:
+        here = places.get(y, 0)
+        swap = (~diagonal & here) << 1 & before
+        diagonal = ((here & up) + up ^ up | here | down | swap) & full
+        right, left = down | full & ~(diagonal | up), diagonal & up
+        found += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down, before = left | full & ~(diagonal | right), right & diagonal, here
+    return min(found, most + 1)
 
 
 def _text_level(a: str, b: str, most: int) -> int:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.addresses import slips
+from ledgerloom.llm.addresses import letter_bag, slips
 from ledgerloom.llm.blocking import block_pairs
 from ledgerloom.session import store
 
@@ -203,6 +203,10 @@ def core_similarity(a: str, b: str) -> float:
     best = monge_elkan(x, y)
     if best < 1:
         joined = "".join(x).replace(".", "")
+        whole = "".join(y).replace(".", "")
+        most = max(len(joined), len(whole)) // 3
+        if "." not in a + b and (letter_bag(joined) ^ letter_bag(whole)).bit_count() > 2 * most:
+            return best  # too far apart in any order
         orders = ["".join(y).replace(".", "")] + (["".join(y[i:] + y[:i]).replace(".", "") for i in range(1, len(y))] if 1 < len(y) < 5 else [])
         best = max(best, *(_likeness(joined, o) for o in orders))
         if len(x) > len(y) == 1 and 1 < len(x) < 5:
@@ -246,16 +250,10 @@ def bands_for(similarity: float = AIM_SIMILARITY, rows: int = ROWS_PER_BAND, rec
 _LETTERS = re.compile(r"[\W\d_]+")
 
 
-def letter_bag(core: str) -> int:
-    """The letters of a core as 64 bits: one for the first and one for the second time of a letter (of 32 kinds).
-
-    The bits in which two bags differ are at most the letters by which the cores differ, in whatever order: an edit changes two.
-    """
-    bag, seen = 0, set()
-    for c in _LETTERS.sub("", core):
-        kind = ord(c) % 32
-        bag |= 1 << (kind + 32 * (kind in seen))
-        seen.add(kind)
+def core_bag(core: str) -> int:
+    """The letters of a core as signed 64 bits: the bits in which two differ are at most the letters by which the cores
+    differ, in whatever order."""
+    bag = letter_bag(_LETTERS.sub("", core))
     return bag - (1 << 64) if bag >> 63 else bag
 
 
@@ -352,25 +350,25 @@ def name_links(classes: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.LongType())
     def bag(core: pd.Series) -> pd.Series:
-        return pd.Series([letter_bag(c) for c in core], dtype="int64")
+        return pd.Series([core_bag(c) for c in core], dtype="int64")
 
     # cores meet once, whatever trades or first names they occur with; those of firms and of people never meet
     numbered = classes.select("kind", "core").distinct().select(F.monotonically_increasing_id().alias("n"), "kind", "core")
-    cores = store(numbered.withColumns({"bag": bag("core"), "size": F.length(F.regexp_replace("core", r"[^\p{L}]", ""))}), "name-cores")
-    spread = cores.repartition(int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n")
-    met = block_pairs(spread.select(F.explode(keys("core")).alias("key"), "kind", F.col("n").alias("id")).select(F.xxhash64("key", "kind").alias("block"), "id"))
-    core = lambda s: cores.select(*[F.col(c).alias(f"{c}_{s}") for c in cores.columns])
+    numbered = numbered.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n")
+    cores = store(numbered.withColumns({"bag": bag("core"), "size": F.length(F.regexp_replace("core", r"[^\p{L}]", "")), "keys": keys("core")}), "name-cores")
+    # pairs that merely share syllables fall here, before Python, by a bound that loses none: letters in any order
+    a, b = F.col("bag_a"), F.col("bag_b")
+    lacking = F.least(F.bit_count(a.bitwiseAND(F.bitwise_not(b))), F.bit_count(b.bitwiseAND(F.bitwise_not(a))))
+    near = F.when(F.col("short_a") | F.col("short_b"), lacking <= MAX_LACKING * F.least("size_a", "size_b")).otherwise(F.bit_count(a.bitwiseXOR(b)) <= MAX_APART * F.greatest("size_a", "size_b"))
+    carried = ("bag", "size", "short")
+    met = block_pairs(cores.withColumn("short", F.col("core").contains(".")).select(F.explode("keys").alias("key"), "kind", F.col("n").alias("id"), *carried).select(F.xxhash64("key", "kind").alias("block"), "id", *carried), carry=carried, keep=near)
+    core = lambda s: cores.select(*[F.col(c).alias(f"{c}_{s}") for c in ("n", "kind", "core")])
 
     @F.pandas_udf(T.BooleanType())
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([core_similarity(x, y) >= MIN_SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    # pairs that merely share syllables fall here, before Python, by a bound that loses none: letters in any order
-    a, b = F.col("bag_a"), F.col("bag_b")
-    lacking = F.least(F.bit_count(a.bitwiseAND(F.bitwise_not(b))), F.bit_count(b.bitwiseAND(F.bitwise_not(a))))
-    short = F.concat("core_a", "core_b").contains(".")
-    near = F.when(short, lacking <= MAX_LACKING * F.least("size_a", "size_b")).otherwise(F.bit_count(a.bitwiseXOR(b)) <= MAX_APART * F.greatest("size_a", "size_b"))
-    pairs = met.toDF("n_a", "n_b").join(core("a"), "n_a").join(core("b"), "n_b").where((F.col("kind_a") == F.col("kind_b")) & near)
+    pairs = met.toDF("n_a", "n_b").join(core("a"), "n_a").join(core("b"), "n_b").where("kind_a = kind_b")
     pairs = store(pairs.where(alike("core_a", "core_b")).select(F.col("kind_a").alias("kind"), "core_a", "core_b"), "core-links")
     like = pairs.unionByName(cores.select("kind", F.col("core").alias("core_a"), F.col("core").alias("core_b")))
     side = lambda s: classes.select("kind", F.col("core").alias(f"core_{s}"), F.col("id").alias(s), F.col("trait").alias(f"trait_{s}"), F.col("initials").alias(f"initials_{s}"))

@@ -132,7 +132,7 @@ def test_the_bound_on_letters_loses_no_link():
         mate = " ".join(other)
         if N.core_similarity(core, mate) >= N.MIN_SIMILARITY:
             links += 1
-            a, b = N.letter_bag(core) % 2**64, N.letter_bag(mate) % 2**64
+            a, b = N.core_bag(core) % 2**64, N.core_bag(mate) % 2**64
             if "." in core + mate:
                 assert min((a & ~b).bit_count(), (b & ~a).bit_count()) <= N.MAX_LACKING * min(letters(core), letters(mate)), (core, mate)
             else:
