@@ -61,3 +61,21 @@ def nested_tag(xml: Column, *path: str) -> Column:
     for tag in path:
         xml = first_tag(xml, tag)
     return xml
+
+
+def unfenced(value: Column) -> Column:
+    """The outermost bracketed span of a text, whether or not it stands in a code fence; null if it has none."""
+    plain = F.regexp_replace(value, r"(?m)^\s*```\w*\s*$", "")
+    return F.nullif(F.regexp_extract(plain, r"(?s)[\{\[].*[\}\]]", 0), F.lit(""))
+
+
+def pdf_strings(content: Column) -> Column:
+    """The shown strings (Tj) of an uncompressed PDF page, escapes of brackets undone, one blank between them."""
+    latin = F.decode(content, "ISO-8859-1")
+    found = F.regexp_extract_all(latin, F.lit(r"\(((?:[^()\\]|\\.)*)\)\s*Tj"), F.lit(1))
+    return F.array_join(F.transform(found, lambda s: F.regexp_replace(s, r"\\([()\\])", "$1")), " ")
+
+
+def keyed_path(*steps: Column) -> Column:
+    """A JSON pointer of steps, tildes and slashes escaped."""
+    return F.concat(*[F.concat(F.lit("/"), F.replace(F.replace(s, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))) for s in steps])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import decimals as D
@@ -27,6 +27,25 @@ def accuracy(compared: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("accuracy", F.format_string("%.6f", F.col("n_matched") / F.col("n_fields")))
 
 
-def nearest_rank(value: str, *points: float) -> list[Column]:
-    """Percentiles as values that occur: the smallest with at least that share of rows at or below it."""
-    return [F.expr(f"percentile_disc({p}) within group (order by {value})").alias(f"p{round(100 * p)}") for p in points]
+BINS = 4096
+
+
+def percentiles(rows: DataFrame, by: str, value: str, *points: float) -> DataFrame:
+    """(by, p50, ...): the smallest value with at least that share of the group's values at or below it. Nulls do not count.
+
+    Counted in bins first, which are few; then only the bins that hold a percentile are looked into, value by value, so no
+    task sees a whole group. All values of a bin equal or not, they are pre-aggregated.
+    """
+    v = rows.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
+    span = v.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    counted = v.groupBy("g", "v").agg(F.count(F.lit(1)).alias("k"))
+    binned = counted.join(span.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h"))).withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)).otherwise(F.lit(0)))
+    binned = binned.select("g", "v", "k", "n", "bin")
+    bins = binned.groupBy("g", "n", "bin").agg(F.sum("k").alias("k"))
+    below = F.sum("k").over(Window.partitionBy("g").orderBy("bin")) - F.col("k")
+    wanted = F.explode(F.array(*[F.struct(F.lit(f"p{round(100 * p)}").alias("name"), F.ceil(F.col("n") * p).alias("rank")) for p in points])).alias("w")
+    hit = bins.withColumn("below", below).select("g", "bin", "below", "k", wanted).where("w.rank > below and w.rank <= below + k").select(F.col("g").alias("h"), F.col("bin").alias("b"), "below", "w.name", "w.rank")
+    inside = binned.join(hit, F.col("g").eqNullSafe(F.col("h")) & (F.col("bin") == F.col("b")))
+    upto = F.col("below") + F.sum("k").over(Window.partitionBy("g", "name").orderBy("v"))
+    found = inside.withColumn("upto", upto).where("upto >= rank").groupBy("g", "name").agg(F.min("v").alias("v"))
+    return found.groupBy(F.col("g").alias(by)).agg(*[F.min(F.when(F.col("name") == f"p{round(100 * p)}", F.col("v"))).alias(f"p{round(100 * p)}") for p in points])

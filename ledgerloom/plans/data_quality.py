@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.nested import INVOICE, flatten_records
+from ledgerloom.operators import units
 from ledgerloom.operators.orphans import orphan_counts, orphan_references
 from ledgerloom.operators.units import normalise_quantities
 from ledgerloom.session import read_table
@@ -167,3 +169,26 @@ SQL["p1_rejects"] = f"""with recursive {_walk('r', "select record_id as k, [0::b
 p as (select record_id, payload, case when json_valid(ltrim(payload, chr(65279))) then json_type(ltrim(payload, chr(65279))) end as kind from approved_batch)
 select record_id, '0' as row_key, cast(null as varchar) as parent_key, case when payload is null or kind = 'NULL' then 'empty' when kind is null then 'unreadable' else 'no record' end as reason
 from p where record_id not in (select k from r)"""
+
+# Units in SQL: the names, exact or within a fifth of the letters by an edit distance with swaps; one unit only.
+_NAMES = ", ".join(f"('{name}', '{unit}')" for name, unit in units._names())
+_FACTS = ", ".join(f"('{u}', '{c}', {Fraction(f).numerator}::hugeint, {Fraction(f).denominator}::hugeint)" for u, (c, f, _) in units._UNITS.items())
+_plain = lambda c: f"regexp_replace(translate(lower({c}), '²³', '23'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_NUM = "'^\\s*([-+−]?\\s*\\d[\\d.,''’\\s]*)'"
+_SAID = [
+    "\\[\\s*([^\\]\\d][^\\]]*?)\\s*\\]\\s*$", "(?:\\bUOM\\s*:|\\bunit of measure\\s*:?|\\bbilled (?:by|in|per)(?:\\s+the)?)\\s+(.+?)\\s*$",
+    "\\b(?:quantity|qty|menge|quantité|qté|cantidad)\\s+(?:given\\s+)?(?:in|en)\\s+([^:()]+(?:\\(US\\))?)\\s*(?:\\)\\s*$|:|$)",
+]
+_UNIT_ROWS = f"""with names(name, unit) as (values {_NAMES}), facts(unit, common, num, den) as (values {_FACTS}),
+li as (select row_id, quantity, trim(unit_code) as s0, case when not regexp_matches(quantity, '^-?\\d+(\\.\\d+)?$') then nullif(trim(regexp_replace(quantity, {_NUM}, '')), '') end as s1,
+  coalesce({", ".join(f"nullif(trim(regexp_extract(description, '(?i){p}', 1)), '')" for p in _SAID)}) as s2 from line_items),
+spelled as (select distinct s as spelling, {_plain('s')} as plain from (select s0 as s from li union all select s1 from li union all select s2 from li) where s is not null and {_plain('s')} not in ('', 'na', 'zz', 'none', 'null', 'unknown', 'tbd', 'xx')),
+near as (select plain, unit, min(cost) as cost from (select distinct p.plain, n.unit, damerau_levenshtein(p.plain, n.name) as cost, least(length(p.plain), length(n.name)) as short from (select distinct plain from spelled) p join names n on p.plain = n.name or length(p.plain) > 3 and length(n.name) > 3 and abs(length(p.plain) - length(n.name)) <= 4) where cost = 0 or cost <= 0.2 * short group by 1, 2),
+best as (select plain, min_by(unit, cost) as unit from near n where cost = (select min(cost) from near m where m.plain = n.plain) group by plain having count(*) = 1),
+alias as (select spelling, unit, common, num, den from spelled join best using (plain) join facts using (unit)),
+u as (select li.row_id, quantity, coalesce(a0.unit, a1.unit, a2.unit) as unit from li left join alias a0 on a0.spelling = s0 left join alias a1 on a1.spelling = s1 left join alias a2 on a2.spelling = s2),
+q as (select row_id, unit, regexp_replace(replace(regexp_replace(regexp_extract(quantity, {_NUM}, 1), '[\\s''’]', '', 'g'), '−', '-'), '[.,]$', '') as d from u),
+v as (select row_id, unit, case when regexp_matches(d, ',\\d{{1,2}}$') then replace(regexp_replace(regexp_replace(d, ',(\\d{{1,2}})$', '#\\1'), '[.,]', '', 'g'), '#', '.') else replace(d, ',', '') end as t from q)
+select row_id, common as common_unit, cast(case when m < 0 then -1 else 1 end * ((2 * abs(m) * num + 1000 * den) // (2000 * den)) as bigint) as quantity_milli
+from (select row_id, unit, cast(try_cast(t as decimal(24,6)) * 1000000 as hugeint) as m from v where regexp_matches(t, '^[-+]?\\d+(\\.\\d+)?$')) join facts using (unit) where m is not null and num <> den"""
+SQL["p2_found"] = _UNIT_ROWS

@@ -312,7 +312,9 @@ def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select event_type, count(*) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, max(value) as most, printf('%.6f', count(*) filter (value > 100) / count(*)) as rate from events group by event_type""")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.format_string("%.6f", F.count_if(F.col("value") > 100) / F.count(F.lit(1)))
-    return read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *evaluate.nearest_rank("value", 0.5, 0.95), F.max("value").alias("most"), rate.alias("rate"))
+    events = read_table(spark, sf_dir, "events")
+    totals = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"), rate.alias("rate"))
+    return totals.join(evaluate.percentiles(events, "event_type", "value", 0.5, 0.95), "event_type")
 
 
 @query("""select user_id, event_type as best_type, n from (select user_id, event_type, count(*) as n, row_number() over (partition by user_id order by count(*) desc, event_type) as k from events group by 1, 2) where k = 1""")
@@ -482,9 +484,26 @@ RECORD_SCHEMA = {
 }
 
 
-@query()
+_R = lambda p: f"json_extract(record_json, '$.{p}')"
+_S = lambda p: f"json_extract_string(record_json, '$.{p}')"
+_violation = lambda pointer, keyword, where: f"select '{pointer}' as pointer, '{keyword}' as keyword from r where {where}"
+
+
+@query("with r as (select record_json from canonical_records where json_valid(record_json)) select pointer, keyword, count(*) as n from (select '' as pointer, 'json' as keyword from canonical_records where not coalesce(json_valid(record_json), false) union all " + " union all ".join([
+    *[_violation(f"/{k}", "required", f"{_R(k)} is null") for k in RECORD_SCHEMA["required"]],
+    _violation("/document_id", "type", f"json_type({_R('document_id')}) <> 'VARCHAR'"),
+    _violation("/document_id", "minLength", f"json_type({_R('document_id')}) = 'VARCHAR' and length({_S('document_id')}) < 8"),
+    _violation("/document_id", "maxLength", f"json_type({_R('document_id')}) = 'VARCHAR' and length({_S('document_id')}) > 128"),
+    _violation("/document_type", "enum", f"{_R('document_type')} is not null and coalesce({_S('document_type')}, '') not in ('invoice', 'tax_invoice', 'receipt', 'credit_note', 'debit_note')"),
+    _violation("/invoice", "type", f"json_type({_R('invoice')}) <> 'OBJECT'"),
+    _violation("/invoice/issue_date", "type", f"json_type({_R('invoice.issue_date')}) <> 'VARCHAR'"),
+    _violation("/invoice/issue_date", "pattern", f"json_type({_R('invoice.issue_date')}) = 'VARCHAR' and not regexp_matches({_S('invoice.issue_date')}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')"),
+    _violation("/invoice/number", "type", f"json_type({_R('invoice.number')}) not in ('VARCHAR', 'NULL')"),
+    _violation("/line_items", "type", f"json_type({_R('line_items')}) <> 'ARRAY'"),
+    _violation("/line_items", "maxItems", f"json_array_length({_R('line_items')}) > 2000"),
+]) + ") group by 1, 2")
 def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of schema violations by pointer and keyword; the walker has no SQL form."""
+    """Counts of schema violations by pointer and keyword."""
     check = trees.schema_check(RECORD_SCHEMA)
     each = read_table(spark, sf_dir, "canonical_records").select(F.explode(check("record_json")).alias("e"))
     return each.groupBy("e.pointer", "e.keyword").agg(F.count(F.lit(1)).alias("n"))

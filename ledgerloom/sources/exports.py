@@ -51,3 +51,23 @@ def write_xlsx(tables: dict[str, DataFrame], path: str) -> None:
                 for row in df.select(*[neutral(F.col(c).cast("string")).alias(c) for c in df.columns]).toLocalIterator():
                     sheet.write(f"<row>{cells(row)}</row>".encode("utf-8", "replace"))
                 sheet.write(b"</sheetData></worksheet>")
+
+
+class NotApproved(ValueError):
+    """Raised where rows are exported that are not approved; names some of them."""
+
+
+def export(tables: dict[str, DataFrame], fmt: str, path: str, statuses: DataFrame, key: str, approved: str = "approved") -> None:
+    """Write tables in a format (json, csv or xlsx), but only if every row of `statuses` (key, review_status) is approved."""
+    open_ones = statuses.where(F.coalesce(F.col("review_status") != approved, F.lit(True))).select(F.col(key).cast("string")).limit(20).collect()
+    if open_ones:
+        raise NotApproved("not approved: " + ", ".join(sorted(str(r[0]) for r in open_ones)))
+    if fmt == "json":
+        for name, df in tables.items():
+            write_json(df, f"{path}/{name}")
+    elif fmt == "csv":
+        write_csv_bundle(tables, path)
+    elif fmt == "xlsx":
+        write_xlsx(tables, path)
+    else:
+        raise ValueError(f"unknown format {fmt}")

@@ -12,9 +12,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerloom.operators.merge import upsert
+from ledgerloom.operators.history import latest
 from ledgerloom.session import scratch_path
 
 WATERMARK = "1 hour"
@@ -33,43 +34,48 @@ def source(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(stream: DataFrame, mode: str, write) -> None:
-    spark = stream.sparkSession
-    job = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "stream-state")).foreachBatch(write).trigger(availableNow=True).start()
-    job.awaitTermination()
+def _run(stream: DataFrame, mode: str, state: str) -> int:
+    """Run to the end of what is there; every micro-batch replaces its own folder of `state`, so one that runs again after a
+    failure changes nothing. The checkpoint lies in `state` too: the next run goes on where this one ended. Returns the
+    number of rows that came after the watermark and were left out."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{state}/out/batch={number}")
 
-def windowed(spark: SparkSession, path: str, width: str = "1 hour") -> DataFrame:
-    """Counts and sums per window and type. Update mode: each batch replaces the windows that it changed, so late events
-    within the watermark correct earlier results and a batch that is run again changes nothing."""
-    events = source(spark, path).withWatermark("ts", WATERMARK)
-    grouped = events.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
-    flat = grouped.select(F.col("window.start").alias("window_start"), "event_type", "n", "cents")
-    versions: list[str] = []
+    job = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{state}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return sum(o["numRowsDroppedByWatermark"] for p in job.recentProgress for o in p["stateOperators"])
 
-    def write(batch: DataFrame, number: int) -> None:
-        out = scratch_path(spark, f"windows-{number}")
-        now = batch if not versions else upsert(spark.read.parquet(versions[-1]), batch, ["window_start", "event_type"])
-        now.write.parquet(out)
-        versions.append(out)
 
-    _run(flat, "update", write)
-    return spark.read.parquet(versions[-1]) if versions else spark.createDataFrame([], flat.schema)
+def _written(spark: SparkSession, state: str, schema: T.StructType) -> DataFrame:
+    """Everything that batches wrote, with the number of the batch."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}/out")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(full).parquet(f"{state}/out") if there else spark.createDataFrame([], full)
 
 
-def deduplicated(spark: SparkSession, path: str, key: str = "event_id") -> DataFrame:
-    """Every event once: repeats within the watermark are dropped by state, earlier ones by the key of what is written."""
-    events = source(spark, path).withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark([key])
-    parts: list[str] = []
+def windowed(spark: SparkSession, path: str, width: str = "1 hour", state: str | None = None, late: str = WATERMARK) -> DataFrame:
+    """Counts and sums per window and type. Each batch writes the windows that it changed; the last state of each counts.
+
+    With a fixed `state` folder a later run takes up new files only. How many rows came after the watermark and were
+    left out is in `windowed.late`.
+    """
+    state = state or scratch_path(spark, "windows")
+    events = source(spark, path).withWatermark("ts", late)
+    grouped = events.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
+    flat = grouped.select(F.col("window.start").alias("window_start"), "event_type", "n", "cents")
+    windowed.late = _run(flat, "update", state)
+    keys = ["window_start", "event_type"]
+    return latest(_written(spark, state, flat.schema), keys, ["batch"]).drop("batch")
 
-    def write(batch: DataFrame, number: int) -> None:
-        out = scratch_path(spark, f"events-{number}")
-        fresh = batch if not parts else batch.join(spark.read.parquet(*parts).select(key), key, "left_anti").select(*batch.columns)
-        fresh.write.parquet(out)
-        parts.append(out)
 
-    _run(events, "append", write)
-    return spark.read.parquet(*parts) if parts else spark.createDataFrame([], events.schema)
+def deduplicated(spark: SparkSession, path: str, key: str = "event_id", state: str | None = None) -> DataFrame:
+    """Every event once: repeats within the watermark are dropped by state before they are written, others when it is read."""
+    state = state or scratch_path(spark, "events")
+    events = source(spark, path).withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark([key])
+    deduplicated.late = _run(events, "append", state)
+    return _written(spark, state, events.schema).drop("batch").dropDuplicates([key])
 
 
 def spend_state(events: DataFrame, limit: int) -> DataFrame:
