@@ -8,7 +8,8 @@ Results by case:
 - words of equal frequency share a rank; a word's rank counts the words that are more frequent, plus one;
 - the language is the one most of whose function words a text has; without any, the given one, else English;
 - null and blank texts and texts without words have no level; null ratings are ignored, several ratings each count;
-- a language with fewer than `MIN_RATINGS` ratings takes the regression over all; without any ratings levels are null;
+- a language's regression is drawn to that over all, as if it had `SHRINK` ratings more; without any ratings levels are null;
+- markup and broken encoding are mended before words are counted;
 - repeated documents each get their row; very long texts are read whole; empty tables give empty results.
 """
 
@@ -23,11 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.leakage import repaired
 from ledgerloom.session import store
 
 SHARES = (0.5, 0.8, 0.9)
 LEVELS = 5
-MIN_RATINGS = 60
+#: Weight, in ratings, of the regression over all languages within that of each.
+SHRINK = 20
 LONG_WORD = 10
 #: A word above this share of a language's words is frequent: there are at most 1 / FREQUENT of them per language.
 FREQUENT = 0.001
@@ -40,7 +43,6 @@ FUNCTION_WORDS = {
 }
 _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _WORD = re.compile(r"[^\W\d_]+")
-_TAG = re.compile(r"<[^<>]{1,300}>")
 _SENTENCE = re.compile(r"[.!?;:](?:\s|$)|\n+")
 
 
@@ -52,7 +54,7 @@ def language(counts: Counter[str], given: str | None) -> str:
 
 def text_measures(text: str, given: str | None) -> tuple[str, int, float, float, float, float, list[tuple[str, int]]] | None:
     """(language, words, words a sentence, letters a word, share of long words, commas a sentence, counted words)."""
-    plain = _TAG.sub(" ", text)
+    plain = repaired(text)
     words = _WORD.findall(plain.lower())
     if not words:
         return None
@@ -128,17 +130,24 @@ def fit_levels(features: DataFrame, ratings: DataFrame) -> dict[str, np.ndarray]
         ratings=ratings,
         features=features,
     ).collect()  # one row per language
-    out = {}
+    sums = {}
     for row in rows:
-        if row["n"] and (row["lang"] == "" or row["n"] >= MIN_RATINGS):
+        if row["n"]:
             s = iter(row["s"])
             a = np.zeros((k, k))
             for i in range(k):
                 for j in range(i, k):
                     a[i, j] = a[j, i] = next(s)
-            b = np.array(list(s))
-            # a slight ridge keeps features that do not vary harmless
-            out[row["lang"]] = np.linalg.solve(a + np.diag([1e-6] + [1e-3] * (k - 1)), b)
+            sums[row["lang"]] = (row["n"], a, np.array(list(s)))
+    # a slight ridge keeps features that do not vary harmless
+    ridge = np.diag([1e-6] + [1e-3] * (k - 1))
+    out = {}
+    if "" in sums:
+        n, a, b = sums[""]
+        out[""] = np.linalg.solve(a + ridge, b)
+        for lang, (_, x, y) in sums.items():
+            if lang:
+                out[lang] = np.linalg.solve(x + SHRINK / n * a + ridge, y + SHRINK / n * (a @ out[""]))
     return out
 
 

@@ -174,3 +174,22 @@ def test_coverage_against_brute_force(spark):
         for share in R.SHARES:
             need = next(k for k in range(1, len(ranks) + 1) if k >= share * len(ranks) - 1e-12)
             assert r[f"cover_{round(100 * share)}"] == ranks[need - 1]
+
+
+def test_neighbours_on_the_curve_are_alike_whatever_their_length_and_containers_are_stable(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    topics = [[word() for _ in range(60)] for _ in range(12)]
+    common = [word() for _ in range(30)]
+    topic = [rng.randrange(12) for _ in range(600)]
+    texts = [" ".join(rng.choice(common if rng.random() < 0.5 else topics[k]) for _ in range(rng.choice([20, 60, 400]))) for k in topic]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = P.pack(df).collect()
+    boxes = {}
+    for r in rows:
+        boxes.setdefault(r.container_id, []).append(r.doc_id)
+    pairs = [(a, b) for ids in boxes.values() for a, b in zip(ids, ids[1:], strict=False)]
+    assert sum(topic[a] == topic[b] for a, b in pairs) / len(pairs) > 3 / 12
+    again = P.pack(df.repartition(7, "text")).collect()
+    key = lambda rs: sorted((r.container_id, r.position, r.doc_id) for r in rs)
+    assert key(rows) == key(again)
