@@ -6,9 +6,10 @@ and sorted lines, numbers in one notation. Every text is cut into k+1 segments;
 at an allowed position, so (length, segment number, segment) of one meets the substrings of the other. Banded dynamic
 programming verifies each candidate, and an exact check keeps other invoices of the same parties apart.
 
-Segments meet only within the same issue date or the same invoice number. Records of one text also meet if parts of their
-numbers or dates agree, so that a slip in both, or a slip in one where the other is missing, is no loss; what is too far
-apart in either is another invoice. Exact copies are collapsed before the join, so a hot text costs one row.
+Segments meet whatever number and date the records have, so slips in text, number and date at once are no loss; what is
+too far apart in any of them is another invoice. Within a segment that many records have, only those meet that share a key
+of their numbers or dates, of which all that may be one invoice share one (`invoice_keys`). Exact copies are collapsed
+before the join, so a hot text costs one row.
 
 Results by case:
 - null or blank splits belong to neither side but still connect rows; blank keys, unreadable hashes connect nothing;
@@ -25,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.addresses import slips
-from ledgerloom.llm.blocking import block_pairs, crossed_pairs
+from ledgerloom.llm.addresses import letter_bag, slips
+from ledgerloom.llm.blocking import CHUNK, crossed_pairs
 from ledgerloom.llm.graph import connected_components
 from ledgerloom.session import lookup_join, store
 
@@ -37,6 +38,8 @@ MAX_SHARE = 0.2
 MAX_NUMBER_SLIPS = 2
 MAX_DATE_SLIPS = 2
 MAX_LONE_DATE_SLIPS = 1
+#: Numbers of more letters meet by segments: without two letters they would be too many texts.
+LONG_NUMBER = 24
 TRAINING = ("train", "trn", "training")
 
 _PARTY = "struct<display_name:string,legal_name:string>"
@@ -136,8 +139,25 @@ def edits_within(a: str, b: str, k: int) -> int | None:
     return row[len(b)] if row[len(b)] <= k else None
 
 
+def most_edits(length: int, k: int) -> int:
+    """Edits allowed between two texts of which the longer has this length."""
+    return min(k, int(MAX_SHARE * length))
+
+
 def allowed_edits(a: str, b: str, k: int) -> int:
-    return min(k, int(MAX_SHARE * max(len(a), len(b))))
+    return most_edits(max(len(a), len(b)), k)
+
+
+def segment_keys(text: str, k: int) -> set[int]:
+    """`own_keys` for as many edits as any longer partner of a text allows; the short ones allow fewer than k."""
+    n = len(text)
+    allowed = {most_edits(longer, k) for longer in range(n, n + k + 1) if most_edits(longer, k) >= longer - n}
+    return {key for most in allowed for key in own_keys(text, most)}
+
+
+def partner_keys(text: str, k: int) -> set[int]:
+    """`looked_up_keys` for as many edits as a text allows; it shares one with `segment_keys` of each shorter partner."""
+    return looked_up_keys(text, most_edits(len(text), k))
 
 
 def same_invoice(number_a: str | None, date_a: str | None, number_b: str | None, date_b: str | None) -> bool:
@@ -148,56 +168,108 @@ def same_invoice(number_a: str | None, date_a: str | None, number_b: str | None,
     return dates is not None and dates <= (MAX_LONE_DATE_SLIPS if number_a or number_b else 0)
 
 
-def part_keys(number: Column, date: Column) -> Column:
-    """Keys of which numbers or dates with a slip or two share one: their beginnings, middles and ends."""
-    n, d = F.length(number), F.length(date)
-    parts = [
-        F.concat(F.lit("b"), F.substring(number, 1, 4)),
-        F.concat(F.lit("m"), F.substr(number, F.greatest(F.lit(1), F.floor(n / 2).cast("int") - 1), F.lit(4))),
-        F.concat(F.lit("e"), F.substr(number, F.greatest(F.lit(1), n - 3), F.lit(4))),
-        F.concat(F.lit("y"), F.substring(date, 1, 4)),
-        F.concat(F.lit("d"), F.substr(date, F.greatest(F.lit(1), d - 3), F.lit(4))),
-    ]
-    return F.array_distinct(F.array_compact(F.array(*parts)))
+def shortened(text: str, most: int) -> set[str]:
+    """A text without up to `most` of its letters. Texts within as many slips share one: a slip costs each a letter at most."""
+    out = last = {text}
+    for _ in range(most):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        out = out | last
+    return out
 
 
-def near_links(texts: DataFrame, k: int = MAX_EDITS) -> DataFrame:
-    """(a, b) of records (path, text, number, date) whose texts are within k edits and that may be one invoice."""
-    facts = ["text", "number", "date"]
-    keyed = texts.withColumn("fact", F.xxhash64("text", F.coalesce("number", F.lit("")), F.coalesce("date", F.lit(""))))
-    # exact copies become one row: the rest of the join sees every distinct record once, under a short number
-    classes = store(keyed.groupBy("fact", *facts).agg(F.min("path").alias("path")).withColumn("n", F.monotonically_increasing_id()), "record-classes")
-    first = classes.select("fact", F.struct(*facts).alias("facts"), F.col("path").alias("b"))
-    copies = lookup_join(keyed, first, ["fact"], "path", "inner").where(F.struct(*facts).eqNullSafe(F.col("facts"))).select(F.col("path").alias("a"), "b").where("a <> b")
+def invoice_keys(number: str | None, date: str | None, asks: bool) -> set[int]:
+    """Keys of which two records that `same_invoice` accepts share one, if one of them asks and the other does not.
+
+    Two numbers meet by what is left of them without a letter or two, long ones by segments (a slip is two edits at most);
+    a record without number meets others by its date. Two records with numbers do not meet by date.
+    """
+    keys: set[int] = set()
+    if number:
+        if len(number) <= LONG_NUMBER:
+            keys |= {xxhash.xxh64_intdigest("n" + t) - 2**63 for t in shortened(number, MAX_NUMBER_SLIPS)}
+        if len(number) > LONG_NUMBER - MAX_NUMBER_SLIPS:
+            keys |= {*own_keys(number, 2 * MAX_NUMBER_SLIPS), *looked_up_keys(number, 2 * MAX_NUMBER_SLIPS)}
+    if date:
+        kinds = ["lone", *([] if number else ["numbered"])] if asks else ["numbered" if number else "lone"]
+        keys |= {xxhash.xxh64_intdigest(kind + t) - 2**63 for t in shortened(date, MAX_LONE_DATE_SLIPS) for kind in kinds}
+    return keys
+
+
+def met_records(classes: DataFrame, k: int = MAX_EDITS, hot: int = CHUNK) -> DataFrame:
+    """(n_a, n_b), n_a < n_b, each once, of records (n, text, number, date): all that may be within k edits and one invoice.
+
+    Segments that no other record has fall in the join with their counts. In those that more than `hot` records have,
+    records meet by `invoice_keys` as well.
+    """
+    spread = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n")
 
-    def keys_of(keys) -> Column:
+    def rows_of(keys) -> DataFrame:
         @F.pandas_udf(T.ArrayType(T.LongType()))
         def run(text: pd.Series) -> pd.Series:
             return pd.Series([list(keys(t, k)) for t in text])
 
-        return run("text")
+        @F.pandas_udf(T.LongType())
+        def bag(number: pd.Series) -> pd.Series:
+            return pd.Series([b - (b >> 63 << 64) for b in map(letter_bag, number.fillna(""))], dtype="int64")
 
-    blocks = F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "date"), F.concat(F.lit("n"), "number")))).alias("block")
-    spread = classes.where(F.length("text") > k).repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n")
-    within = lambda keys, name: spread.select("n", "date", "number", F.explode(keys_of(keys)).alias("k")).select(F.col("n").alias(name), "k", blocks).select(F.xxhash64("k", "block").alias("key"), name)
+        return spread.select("n", F.when(F.col("number").isNotNull(), bag("number")).alias("bag"), F.explode(run("text")).alias("key"))
+
+    own = store(rows_of(segment_keys), "segments")
+    counts = own.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("first"))
     # the hint: the planner takes what Python enlarges for a small side and would broadcast it
-    met = within(own_keys, "a").join(within(looked_up_keys, "b").hint("merge"), "key").where("a <> b").select(F.least("a", "b").alias("n_a"), F.greatest("a", "b").alias("n_b")).distinct()
-    alike = block_pairs(classes.select(F.explode(part_keys(F.col("number"), F.col("date"))).alias("part"), "text", F.col("n").alias("id")).select(F.xxhash64("text", "part").alias("block"), "id"))
-    met = met.unionByName(alike.toDF("n_a", "n_b")).distinct()
+    asked = store(rows_of(partner_keys).join(counts.hint("merge"), "key").where("c > 1 or first <> n"), "segments-met")
+    held = own.select("key", F.col("n").alias("m"), F.col("bag").alias("bag_m"))
+    # the letters of the numbers, in any order: a bound that loses none
+    near = F.coalesce(F.bit_count(F.col("bag").bitwiseXOR(F.col("bag_m"))) <= 2 * MAX_NUMBER_SLIPS, F.lit(True))
+    met = asked.where(F.col("c") <= hot).join(held.hint("merge"), "key").where(near).select("n", "m")
+    crowded = asked.where(F.col("c") > hot)
+    if not crowded.isEmpty():
+
+        def told(rows: DataFrame, asks: bool) -> DataFrame:
+            @F.pandas_udf(T.ArrayType(T.LongType()))
+            def run(number: pd.Series, date: pd.Series) -> pd.Series:
+                return pd.Series([list(invoice_keys(x, y, asks)) for x, y in zip(_none(number), _none(date), strict=True)])
+
+            facts = rows.select("n").distinct().join(classes.select("n", "number", "date").hint("merge"), "n").select("n", run("number", "date").alias("keys"))
+            return rows.join(facts.hint("merge"), "n").select("key", F.explode("keys").alias("told"), F.col("n").alias("id")).select(F.xxhash64("key", "told").alias("block"), "id")
+
+        shared = own.join(crowded.select("key").distinct().hint("merge"), "key").select("key", "n")
+        met = met.unionByName(crossed_pairs(told(crowded.select("key", "n"), True), told(shared, False)).toDF("n", "m"))
+    return met.where("n <> m").select(F.least("n", "m").alias("n_a"), F.greatest("n", "m").alias("n_b")).distinct()
+
+
+def _none(values: pd.Series) -> pd.Series:
+    return values.astype(object).where(values.notna(), None)
+
+
+def near_links(texts: DataFrame, k: int = MAX_EDITS, hot: int = CHUNK) -> DataFrame:
+    """(a, b) of records (path, text, number, date) whose texts are within k edits and that may be one invoice."""
+    facts = ["text", "number", "date"]
+    keyed = texts.withColumn("fact", F.xxhash64("text", F.coalesce("number", F.lit("")), F.coalesce("date", F.lit(""))))
+    # exact copies become one row: the rest of the join sees every distinct record once, under a short number
+    classes = store(keyed.groupBy("fact", *facts).agg(F.min("path").alias("path")).withColumn("n", F.monotonically_increasing_id()), "record-classes")
+    first = classes.select("fact", F.struct(*facts).alias("facts"), F.col("path").alias("b"))
+    copies = lookup_join(keyed, first, ["fact"], "path", "inner").where(F.struct(*facts).eqNullSafe(F.col("facts"))).select(F.col("path").alias("a"), "b").where("a <> b")
+    met = met_records(classes, k, hot)
     side = lambda s: classes.select(F.col("n").alias(f"n_{s}"), F.col("path").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in facts])
 
     @F.pandas_udf(T.BooleanType())
     def same(text_a: pd.Series, number_a: pd.Series, date_a: pd.Series, text_b: pd.Series, number_b: pd.Series, date_b: pd.Series) -> pd.Series:
-        none = lambda s: s.astype(object).where(s.notna(), None)
-        columns = zip(text_a, none(number_a), none(date_a), text_b, none(number_b), none(date_b), strict=True)
+        columns = zip(text_a, _none(number_a), _none(date_a), text_b, _none(number_b), _none(date_b), strict=True)
         return pd.Series([same_invoice(na, da, nb, db) and edits_within(ta, tb, allowed_edits(ta, tb, k)) is not None for ta, na, da, tb, nb, db in columns], dtype=bool)
 
+    @F.pandas_udf(T.BooleanType())
+    def other(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([slips(x, y, MAX_NUMBER_SLIPS) > MAX_NUMBER_SLIPS for x, y in zip(a, b, strict=True)], dtype=bool)
+
     pairs = met.join(side("a"), "n_a").join(side("b"), "n_b").where(same(*[f"{c}_a" for c in facts], *[f"{c}_b" for c in facts]))
     pairs = store(pairs.withColumn("lone", F.when(F.col("number_a").isNull(), F.col("n_a")).when(F.col("number_b").isNull(), F.col("n_b"))).withColumn("slipped", F.col("lone").isNotNull() & (F.col("date_a") != F.col("date_b"))), "record-pairs")
-    # a record without number that has the date of one invoice but for a slip is that one only if no other comes into question
-    number = F.coalesce("number_a", "number_b")
-    told = pairs.where("lone is not null").groupBy("lone").agg(F.bool_or(~F.col("slipped")).alias("exact"), (F.min(number) != F.max(number)).alias("several"))
-    unclear = told.where(F.col("exact") | F.coalesce("several", F.lit(False))).select("lone", F.lit(True).alias("slipped"))
+    # a record without number that has the date of one invoice but for a slip is that one only if no other comes into
+    # question; another record without number is no other invoice, nor is a number that differs by slips
+    beside = pairs.withColumn("number", F.coalesce("number_a", "number_b")).where("lone is not null and number is not null").select("lone", "slipped", "number")
+    told = beside.groupBy("lone").agg(F.bool_or(~F.col("slipped")).alias("exact"), F.min("number").alias("least"), F.max("number").alias("most"))
+    several = beside.join(told.where("not exact and least <> most").select("lone", "least"), "lone").where(other("number", "least")).select("lone")
+    unclear = told.where("exact").select("lone").unionByName(several.distinct()).withColumn("slipped", F.lit(True))
     return pairs.join(unclear, ["lone", "slipped"], "left_anti").select("a", "b").unionByName(copies)
 
 

@@ -127,3 +127,61 @@ def test_numbers_and_dates_in_one_notation(spark):
     df = spark.createDataFrame([("209.00", "2025/02/19"), ("209", "19.02.2025"), ("-0.50", "2025-02-19T00:00:00Z"), (None, None)], "n string, d string")
     out = df.select(S._number(F.col("n")).alias("n"), S._date(F.col("d")).alias("d")).collect()
     assert [r.n for r in out] == ["209", "209", "-0.5", None] and [r.d for r in out] == ["20250219"] * 3 + [None]
+
+
+def met_by_brute_force(rows):
+    return {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if S.same_invoice(a[2], a[3], b[2], b[3]) and S.edits_within(a[1], b[1], S.allowed_edits(a[1], b[1], S.MAX_EDITS)) is not None}
+
+
+@pytest.mark.parametrize("hot", [2, 256])
+def test_slips_in_text_number_and_date_at_once_lose_no_pair(spark, hot):
+    rng = random.Random(hot)
+
+    def slip(t, most):
+        for _ in range(rng.randint(0, most)):
+            p = rng.randrange(len(t) + 1)
+            t = rng.choice([t[:p] + rng.choice("x71") + t[p:], t[:p] + t[p + 1 :], t[:p] + rng.choice("x71") + t[p + 1 :], t[:p] + t[p : p + 2][::-1] + t[p + 2 :]])
+        return t
+
+    starts = [("somefirm|eur|46.3|8.8|55.1|10x2.5x25", "inv2024123", "20250301"), ("firmus|eur|1|2|3", "7", "20250302"), ("otherhouse|eur|46.3|8.8|55.1|10x2.5x25", "x" * 40 + "123", "20250401"), ("abcde", "inv77", "20250505"), ("somefirm|eur|46.3|8.8|55.1|9x2.5x22.5", None, "20250304")]
+    rows = []
+    for text, number, date in starts * 12:
+        rows.append((len(rows), slip(text, 4) or "x", rng.choice([number and (slip(number, 2) or "7"), number, None]), rng.choice([slip(date, 2) or "2", date, None])))
+    want = met_by_brute_force(rows)
+    assert {len(t) for _, t, *_ in rows} & {4, 5} == {4, 5} and any(a != b and x != y and t != u for (i, j) in want for _, t, a, x in [rows[i]] for _, u, b, y in [rows[j]] if a and b and x and y)
+    classes = spark.createDataFrame(rows, "n long, text string, number string, date string")
+    got = [tuple(r) for r in S.met_records(classes, hot=hot).collect()]
+    assert len(got) == len(set(got)) and want <= set(got)
+
+
+def test_one_slip_each_in_text_number_and_date(spark):
+    texts = [("a", "somefirmltd|eur|46.3|8.8|55.1|10x2.5x25", "r123456789", "20250301")]
+    cases = [("somefirnltd|eur|46.3|8.8|55.1|10x2.5x25", "r123456798", "20250310"), ("somefirnltd|eur|46.3|8.8|55.1|10x2.5x25", "r123465789", None), ("somefirnltd|eur|46.3|8.8|55.1|10x2.5x25", None, "20250311")]
+    for case in cases:
+        assert [tuple(sorted(r)) for r in S.near_links(spark.createDataFrame([*texts, ("b", *case)], "path string, text string, number string, date string")).collect()] == [("a", "b")], case
+    short = [("a", "abcd", "r1", "20250301"), ("b", "abcde", "r1", "20250301")]
+    assert S.near_links(spark.createDataFrame(short, "path string, text string, number string, date string")).count() == 1
+
+
+def test_keys_of_numbers_and_dates_are_shared_by_all_that_may_be_one(spark):
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("01") for _ in range(n))
+    for _ in range(3000):
+        n = rng.choice([3, 6, 22, 23, 24, 25, 26, 27, 40])
+        a = some(n)
+        b = list(a)
+        for _ in range(rng.randint(0, 2)):
+            p = rng.randrange(len(b))
+            b[p : p + 2] = rng.choice([b[p : p + 2][::-1], b[p : p + 1], ["2", *b[p : p + 2]]])
+        one, two = (rng.choice([a, None]), rng.choice(["20250301", "20250310", None])), (rng.choice(["".join(b), None]), rng.choice(["20250301", "20250310", "20250308", None]))
+        if S.same_invoice(*one, *two):
+            assert S.invoice_keys(*one, True) & S.invoice_keys(*two, False), (one, two)
+
+
+def test_a_lone_record_takes_the_one_invoice_within_a_slip(spark):
+    text = "somefirmltd|eur|46.3|8.8|55.1|10x2.5x25"
+    linked = lambda rows: {frozenset(r) for r in map(tuple, S.near_links(spark.createDataFrame(rows, "path string, text string, number string, date string")).collect())}
+    two, lone = [("a", text, "r123456789", "20250301"), ("b", text + "0", "r123456798", "20250301")], ("c", text, None, "20250311")
+    assert linked([*two, lone]) == {frozenset("ab"), frozenset("ac"), frozenset("bc")}  # slips in the number: one invoice
+    assert linked([*two[:1], lone, ("d", text + "0", None, "20250311")]) == {frozenset("ac"), frozenset("ad"), frozenset("cd")}
+    assert linked([two[0], ("b", text, "r987654321", "20250313"), lone]) == set()  # two invoices: neither
