@@ -189,33 +189,48 @@ def _likeness(a: str, b: str) -> float:
 
 def monge_elkan(a: list[str], b: list[str], least: float = 0.7) -> float:
     """Mean of the best likeness of each word, the lower of both directions; 0 if a word has no like."""
-    table = [[_likeness(x, y) for y in b] for x in a]
-    rows = [max(r) for r in table]
+    table, rows = [], []
+    for x in a:
+        row = [_likeness(x, y) for y in b]
+        if max(row) < least:
+            return 0.0
+        table.append(row)
+        rows.append(max(row))
     columns = [max(c) for c in zip(*table, strict=True)]
-    if min(rows) < least or min(columns) < least:
+    if min(columns) < least:
         return 0.0
     return min(sum(rows) / len(rows), sum(columns) / len(columns))
 
 
-def core_similarity(a: str, b: str) -> float:
-    """Monge-Elkan of the words, or likeness of the words written as one, in either order: split and joined words."""
+def core_similarity(a: str, b: str, least: float = 0.0) -> float:
+    """Monge-Elkan of the words, or likeness of the words written as one, in either order: split and joined words.
+
+    What is below `least` may come out lower: the words written as one are then compared with no more edits than it allows.
+    """
     x, y = a.split(), b.split()
     best = monge_elkan(x, y)
     if best < 1:
         joined = "".join(x).replace(".", "")
         whole = "".join(y).replace(".", "")
-        most = max(len(joined), len(whole)) // 3
-        if "." not in a + b and (letter_bag(joined) ^ letter_bag(whole)).bit_count() > 2 * most:
-            return best  # too far apart in any order
-        orders = ["".join(y).replace(".", "")] + (["".join(y[i:] + y[:i]).replace(".", "") for i in range(1, len(y))] if 1 < len(y) < 5 else [])
-        best = max(best, *(_likeness(joined, o) for o in orders))
-        if len(x) > len(y) == 1 and 1 < len(x) < 5:
-            best = max(best, *(_likeness("".join(x[i:] + x[:i]).replace(".", ""), orders[0]) for i in range(1, len(x))))
+        longest = max(len(joined), len(whole))
+        most = min(longest // 3, int((1 - least) * longest + 1e-9))
+        # the letters in any order come first: most pairs are too far apart in all
+        if abs(len(joined) - len(whole)) <= most and (letter_bag(joined) ^ letter_bag(whole)).bit_count() <= 2 * most:
+            orders = [(joined, whole), *((joined, o) for o in _turned(y))]
+            if len(x) > len(y) == 1:
+                orders += [(o, whole) for o in _turned(x)]
+            fewest = min(slips(one, other, most) for one, other in orders)
+            best = max(best, 1 - fewest / longest if fewest <= most else 0.0)
         if "." in a or "." in b:  # an abbreviated first word, the rest joined to it or split
             best = max(best, _abbreviated(x, y), _abbreviated(y, x))
     return best
 
 
+def _turned(words: list[str]) -> list[str]:
+    """Two to four words written as one, each but the first in front once."""
+    return ["".join(words[i:] + words[:i]).replace(".", "") for i in range(1, len(words))] if 1 < len(words) < 5 else []
+
+
 def _abbreviated(x: list[str], y: list[str]) -> float:
     """x with one abbreviated word against the letters of y."""
     whole = "".join(y).replace(".", "")
@@ -239,7 +254,7 @@ def same_name(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> boo
             return False
     elif not set(a[3]) & set(b[3]):
         return False
-    return core_similarity(a[1], b[1]) >= MIN_SIMILARITY
+    return core_similarity(a[1], b[1], MIN_SIMILARITY) >= MIN_SIMILARITY
 
 
 def bands_for(similarity: float = AIM_SIMILARITY, rows: int = ROWS_PER_BAND, recall: float = AIM_RECALL) -> int:
@@ -366,7 +381,7 @@ def name_links(classes: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.BooleanType())
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([core_similarity(x, y) >= MIN_SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([core_similarity(x, y, MIN_SIMILARITY) >= MIN_SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
 
     pairs = met.toDF("n_a", "n_b").join(core("a"), "n_a").join(core("b"), "n_b").where("kind_a = kind_b")
     pairs = store(pairs.where(alike("core_a", "core_b")).select(F.col("kind_a").alias("kind"), "core_a", "core_b"), "core-links")

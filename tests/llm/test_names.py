@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 
 import pytest
@@ -138,3 +139,35 @@ def test_the_bound_on_letters_loses_no_link():
             else:
                 assert (a ^ b).bit_count() <= N.MAX_APART * max(letters(core), letters(mate)), (core, mate)
     assert links > 500
+
+
+FAR = [("drafezen ulfclarand", "ulfrezen fallonell"), ("rudvecroft eskzuhurst", "starorix eskzuhurst"), ("rosvewick wesblavik", "quilcro wesblavik"), ("palcrefeld korderell", "korcreyardmoncrefeld")]
+
+
+def test_names_too_far_apart_cost_few_edit_distances(monkeypatch):
+    counted, plain = [], N.slips
+    monkeypatch.setattr(N, "slips", lambda a, b, most: counted.append((a, b)) or plain(a, b, most))
+    N._likeness.cache_clear()
+    assert not any(N.same_name(("firm", a, "", ""), ("firm", b, "", "")) for a, b in FAR)
+    assert not [pair for pair in counted if len(min(pair, key=len)) > 12]  # the words written as one are not compared at all
+
+
+def test_the_bound_of_the_verifier_changes_no_decision():
+    rng = random.Random(6)
+    parts = ["tor", "kel", "mere", "holm", "ast", "a", "be"]
+    word = lambda: "".join(rng.choices(parts, k=rng.randint(1, 4))) + rng.choice(["", "", "", "."])
+    seen = set()
+    for _ in range(6000):
+        a = [word() for _ in range(rng.randint(1, 4))]
+        b = rng.sample(a, len(a)) if rng.random() < 0.7 else [word() for _ in range(rng.randint(1, 4))]
+        text = rng.choice([" ", " ", ""]).join(b)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(text) + 1)
+            text = text[:i] + rng.choice(["", "x", " "]) + text[i + rng.randint(0, 1) :]
+        if not re.fullmatch(r"[a-z]+\.?( [a-z]+\.?)*", text):
+            continue
+        a = " ".join(a)
+        kept = N.core_similarity(a, text, N.MIN_SIMILARITY)
+        assert (kept >= N.MIN_SIMILARITY) == (N.core_similarity(a, text) >= N.MIN_SIMILARITY), (a, text)
+        seen.add((kept >= N.MIN_SIMILARITY, "." in a + text))
+    assert len(seen) == 4
